@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, mixing, quality, tokens
+from . import chat, decontam, lines, mixing, ngrams, quality, tokens
 from .common import table
 
 
@@ -18,6 +18,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digest(table(spark, sf_dir, "documents"))
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -40,6 +48,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_mixing": op2_mixing,
+        "op3_line_dedup": op3_line_dedup,
+        "op4_ngram_join": op4_ngram_join,
         "op6_token_counts": op6_token_counts,
         "op7_chat_formatting": op7_chat_formatting,
         "op10_decontamination": op10_decontamination,
