@@ -11,7 +11,7 @@ from .common import reliable, small, word_count
 GOLDEN = 2654435769
 SPAN = 1 << 32
 SLOTS = 1 << 16
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4096
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
