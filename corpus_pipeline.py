@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from nearfield.llm import decontam, mixing, quality
+from nearfield.llm import decontam, lines, mixing, ngrams, quality
 from nearfield.llm.common import table
 
 
@@ -14,6 +13,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs)
 
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without lines that stand elsewhere, or nearly so."""
+    return lines.keep(docs)
+
+
+def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return ngrams.keep(docs)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that no benchmark item contaminates."""
     return decontam.keep(docs, table(spark, sf_dir, "benchmark"))
@@ -26,8 +35,10 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("quality rules", quality_stage),
-    ("decontamination", decontamination_stage),
-    ("mixing", mixing_stage),
+    ("line dedup", line_stage),
+    ("n-gram Jaccard join", ngram_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources to target weights", mixing_stage),
 ]
 
 #: The stages compare texts approximately, which DuckDB can't repeat; tests hold run() against brute force.

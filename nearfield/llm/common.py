@@ -76,6 +76,18 @@ def map_texts(df: DataFrame, start: Callable[[], Callable], schema: T.StructType
     return df.mapInArrow(run, T.StructType(kept + schema.fields))
 
 
+def filter_texts(df: DataFrame, start: Callable[[], Callable[[str], bool]], text: str = "text") -> DataFrame:
+    """The rows of ``df``, with all columns, whose text (null: empty) ``start()`` says true of."""
+    bounded_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = start()
+        for batch in batches:
+            yield batch.filter(pa.array([of(t or "") for t in batch.column(text).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _arrow(kind: T.DataType) -> pa.DataType:
     if isinstance(kind, T.ArrayType):
         return pa.list_(_arrow(kind.elementType))

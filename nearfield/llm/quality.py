@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts
+from .common import filter_texts, map_texts
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -102,11 +102,7 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
     other columns of the input play no part. Texts are judged whole, at any length.
     """
     need = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    if order is None:
-        sample = need.where(F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0).select("text").take(sample_rows)
-        order = [p.name for p in plan_cascade((r.text or "" for r in sample), rules)]
-    named = {r.name: r for r in rules}
-    cascade = [named[n].rejects for n in order]
+    cascade = _cascade(need, rules, sample_rows, order)
 
     def start() -> Callable[[str], tuple]:
         def judge(text: str) -> tuple:
@@ -120,6 +116,28 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
     return map_texts(need, start, BASE)
 
 
+def _cascade(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int, order: list[str] | None) -> list[Callable[[Doc], bool]]:
+    if order is None:
+        sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0).select("text").take(sample_rows)
+        order = [p.name for p in plan_cascade((r.text or "" for r in sample), rules)]
+    named = {r.name: r for r in rules}
+    return [named[n].rejects for n in order]
+
+
+def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 400, order: list[str] | None = None) -> DataFrame:
+    """The documents, with all their columns, that ``quality`` keeps."""
+    cascade = _cascade(docs, rules, sample_rows, order)
+
+    def start() -> Callable[[str], bool]:
+        def judge(text: str) -> bool:
+            d = Doc(text)
+            return not base_failed(d) and not any(rejects(d) for rejects in cascade)
+
+        return judge
+
+    return filter_texts(docs, start)
+
+
 ORACLE = r"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,

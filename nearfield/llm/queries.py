@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, lines, mixing, ngrams, quality, tokens
+from . import chat, decontam, licenses, lines, mixing, ngrams, pii, quality, tokens, urls
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,6 +43,14 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(turns.unionByName(extra))
 
 
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("hit_spans")
@@ -50,8 +62,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": op2_mixing,
         "op3_line_dedup": op3_line_dedup,
         "op4_ngram_join": op4_ngram_join,
+        "op5_url_filters": op5_url_filters,
         "op6_token_counts": op6_token_counts,
         "op7_chat_formatting": op7_chat_formatting,
+        "op8_license_scans": op8_license_scans,
+        "op9_personal_data": op9_personal_data,
         "op10_decontamination": op10_decontamination,
     }
 
