@@ -1,15 +1,692 @@
-"""Every query of the engine's own operators, with the SQL that gives the same rows where SQL can."""
+"""Every query of the engine's own operators, with the SQL that gives the same rows where SQL can.
+
+The retrieval tables are derived from ``embeddings``: vector i is a view of panorama ``room_<label>_<i mod 5>`` with
+angles from i, the first three elements are its place, and the vectors 0 to 19 are the queries.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import vectors
+from ..operators import hierarchy, index, knn, lsh, pooling, prep, quantize, ranking, search
+from ..operators.trees import Params
+from ..streaming.ingest import windowed_counts
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+#: The derived tables in SQL. e: the vector in doubles; lists are numbered from 1.
+VIEWS = """
+v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label, 'room_' || label AS room, 'room_' || label || '_' || (vec_id % 5) AS pano,
+             (vec_id % 48) * 7.5 AS yaw_deg, [-15, 0, 15][vec_id % 3 + 1] AS pitch_deg FROM embeddings),
+q AS (SELECT vec_id AS qid, e AS qe, room, pano FROM v WHERE vec_id < 20), d AS (SELECT vec_id AS id, e, label, room, pano, yaw_deg, pitch_deg FROM v WHERE vec_id >= 20)"""
+TERMS = {
+    "l2": "(x[1] - x[2]) * (x[1] - x[2])",
+    "l1": "abs(x[1] - x[2])",
+    "minkowski": "pow(abs(x[1] - x[2]), 3)",
+    "hist_intersection": "least(x[1], x[2])",
+    "hellinger": "(sqrt(x[1]) - sqrt(x[2])) * (sqrt(x[1]) - sqrt(x[2]))",
+    "chi_square": "CASE WHEN x[1] + x[2] > 0 THEN (x[1] - x[2]) * (x[1] - x[2]) / (x[1] + x[2]) ELSE 0 END",
+    "kl": "CASE WHEN x[1] <> 0 AND x[2] <> 0 AND x[1] / x[2] > 0 THEN x[1] * ln(x[1] / x[2]) ELSE 0 END",
+}
+
+
+def total(a: str, b: str, name: str = "l2") -> str:
+    if name == "max":
+        return f"list_max(list_transform(list_zip({a}, {b}), lambda x: abs(x[1] - x[2])))"
+    if name == "dot":
+        return f"-list_sum(list_transform(list_zip({a}, {b}), lambda x: x[1] * x[2]))"
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda x: {TERMS[name]}))"
+
+
+def views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    room = F.concat(F.lit("room_"), F.col("label").cast("string"))
+    made = e.select(F.col("vec_id").alias("image_id"), F.col("embedding").alias("vec"), "label", room.alias("room"))
+    made = made.withColumn("pano", F.concat_ws("_", "room", (F.col("image_id") % 5).cast("string")))
+    made = made.withColumn("yaw_deg", (F.col("image_id") % 48) * 7.5).withColumn("pitch_deg", F.element_at(F.array(F.lit(-15.0), F.lit(0.0), F.lit(15.0)), (F.col("image_id") % 3 + 1).cast("int")))
+    made = made.withColumn("filename", prep.view_name(F.col("pano"), F.col("yaw_deg"), F.col("pitch_deg")))
+    return made.withColumn("location", F.transform(F.slice("vec", 1, 3), lambda x: x.cast("double")))
+
+
+def queries_of(v: DataFrame) -> DataFrame:
+    return v.where("image_id < 20").select(F.col("image_id").alias("qid"), "vec", "room", "pano", "location")
+
+
+def points_of(v: DataFrame) -> DataFrame:
+    return v.where("image_id >= 20").select(F.col("image_id").alias("id"), "vec", "label")
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE[name] = sql if sql.lstrip().upper().startswith("WITH") or "FROM" in sql and "{V}" not in sql else f"WITH {VIEWS} {sql}"
+        return f
+
+    return keep
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns or ("dist",)})
+
+
+def knn_sql(dist: str, k: int = 5, where: str = "TRUE", rank: str = "", tables: str = "q, d") -> str:
+    return f"WITH {VIEWS}, h AS (SELECT qid, id, {dist} AS dist FROM {tables} WHERE {where}), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM h) SELECT qid, CAST(rank AS INTEGER) AS rank, id, round(dist, 6) AS dist FROM r WHERE rank <= {k}{rank}"
+
+
+# --- exact neighbours ---------------------------------------------------------------------------------------------
+
+for _name, _p in (("l2", 2), ("l1", 2), ("minkowski", 3), ("max", 2), ("dot", 2)):
+
+    @query(f"knn_{_name}" + ("3" if _name == "minkowski" else ""), knn_sql(total("qe", "e", _name)))
+    def _(spark: SparkSession, sf: str, name: str = _name, p: float = _p) -> DataFrame:
+        v = views(spark, sf)
+        return rounded(knn.knn_join(queries_of(v), points_of(v), 5, name, p))
+
+
+for _name, _short in (("hellinger", "hellinger"), ("chi_square", "chi2"), ("kl", "kl"), ("hist_intersection", "histint")):
+
+    @query(f"knn_{_short}", knn_sql(total("list_transform(qe, lambda y: y + 1)", "list_transform(e, lambda y: y + 1)", _name)))
+    def _(spark: SparkSession, sf: str, name: str = _name) -> DataFrame:
+        v = views(spark, sf).withColumn("vec", F.transform("vec", lambda x: x.cast("double") + 1))
+        return rounded(knn.knn_join(queries_of(v), points_of(v), 5, name))
+
+
+@query("knn_l2_expressions", knn_sql(total("qe", "e")))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    return rounded(knn.knn_expressions(queries_of(v), points_of(v), 5))
+
+
+BITS = "list_sum(list_transform(list_zip(qe[1:63], e[1:63]), lambda x: CASE WHEN (x[1] > 0) <> (x[2] > 0) THEN 1 ELSE 0 END))"
+
+
+def bits(v: DataFrame) -> DataFrame:
+    return v.withColumn("vec", F.array(vectors.sign_bits(F.slice("vec", 1, 63))))
+
+
+@query("knn_hamming", knn_sql(f"CAST({BITS} AS DOUBLE)"))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = bits(views(spark, sf))
+    return rounded(knn.knn_join(queries_of(v), points_of(v), 5, "hamming"))
+
+
+@query("radius_all", knn_sql(total("qe", "e"), k=1_000_000, where=f"{total('qe', 'e')} < 1.0"))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    return rounded(knn.radius_join(queries_of(v), points_of(v), 1.0))
+
+
+@query("radius_topm", knn_sql(total("qe", "e"), k=3, where=f"{total('qe', 'e')} < 1.0"))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    return rounded(knn.radius_join(queries_of(v), points_of(v), 1.0, max_neighbors=3))
+
+
+@query("radius_count", f"WITH {VIEWS} SELECT qid, count(*) FILTER (WHERE {total('qe', 'e')} < 1.0) AS n FROM q, d GROUP BY qid")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    return knn.radius_join(queries_of(v), points_of(v), 1.0, max_neighbors=0)
+
+
+@query("knn_removed", knn_sql(total("qe", "e"), where="id % 7 <> 0"))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    points = points_of(v)
+    return rounded(knn.knn_join(queries_of(v), points, 5, removed=points.where("id % 7 = 0").select("id")))
+
+
+@query("knn_skip_self", f"WITH {VIEWS}, h AS (SELECT q.qid, vec_id AS id, {total('qe', 'e')} AS dist FROM q, v), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM h) SELECT qid, CAST(rank - 1 AS INTEGER) AS rank, id, round(dist, 6) AS dist FROM r WHERE rank BETWEEN 2 AND 6")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    return rounded(knn.knn_join(queries_of(v), v.select(F.col("image_id").alias("id"), "vec"), 5, skip=1))
+
+
+@query("knn_union_offset", f"WITH {VIEWS}, u AS (SELECT id, e FROM d UNION ALL SELECT id + (SELECT max(id) + 1 FROM d), list_transform(e, lambda x: -x) FROM d), h AS (SELECT qid, id, {total('qe', 'e')} AS dist FROM q, u), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM h) SELECT qid, CAST(rank AS INTEGER) AS rank, id, round(dist, 6) AS dist FROM r WHERE rank <= 5")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    main = points_of(v).select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+    both = prep.union_with_offsets([("main", main), ("distractor", main.withColumn("vec", F.transform("vec", lambda x: -x)))], room_col=None)
+    return rounded(knn.knn_join(queries_of(v), both, 5))
+
+
+@query("knn_matrix", f"WITH {VIEWS}, h AS (SELECT qid, id, {total('qe', 'e')} AS dist FROM q, d), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM h) SELECT qid, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) AS indices FROM r WHERE rank <= 3 GROUP BY qid")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    m = knn.as_matrix(knn.knn_join(queries_of(v), points_of(v), 3), 3)
+    return m.select("qid", F.array_join(F.transform("indices", lambda x: x.cast("string")), ",").alias("indices"))
+
+
+# --- vectors and pooling ------------------------------------------------------------------------------------------
+
+
+def long_form(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, F.posexplode("vec").alias("dim", "x")).withColumn("x", F.round("x", 6))
+
+
+UNNEST = "unnest(generate_series(1, 64)) AS i"
+
+
+@query("vec_normalize", f"WITH {VIEWS}, n AS (SELECT vec_id, list_transform(e, lambda x: x * 3 + 0.5) AS w FROM v), m AS (SELECT vec_id, w, sqrt(list_sum(list_transform(w, lambda x: x * x))) AS l, {UNNEST} FROM n) SELECT vec_id AS image_id, CAST(i - 1 AS INTEGER) AS dim, round(w[i] / l, 6) AS x FROM m")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf).withColumn("vec", F.transform("vec", lambda x: x.cast("double") * 3 + 0.5))
+    return long_form(v.withColumn("vec", vectors.normalize(F.col("vec"))), "image_id")
+
+
+@query("vec_center", f"WITH {VIEWS}, m AS (SELECT vec_id, i, e[i] AS x FROM (SELECT vec_id, e, {UNNEST} FROM v)) SELECT vec_id AS image_id, CAST(i - 1 AS INTEGER) AS dim, round(x - avg(x) OVER (PARTITION BY i), 6) AS x FROM m")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    return long_form(pooling.center_all(v, pooling.column_mean(v), unit=False), "image_id")
+
+
+POOLED = "list_transform(w, lambda x: x / sqrt(list_sum(list_transform(w, lambda y: y * y))))"
+
+
+def pool_sql(keys: str, source: str = "v", unit: bool = True) -> str:
+    return f"WITH {VIEWS}, x AS (SELECT {keys}, i, avg(e[i]) AS m FROM (SELECT *, {UNNEST} FROM {source}) GROUP BY {keys}, i), w AS (SELECT {keys}, i, m, sqrt(sum(m * m) OVER (PARTITION BY {keys})) AS l FROM x) SELECT {keys}, CAST(i - 1 AS INTEGER) AS dim, round(m / {'l' if unit else '1'}, 6) AS x FROM w"
+
+
+@query("pool_mean_by_label", pool_sql("label"))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return long_form(pooling.mean_pool(views(spark, sf), ["label"]), "label")
+
+
+@query("pool_sum_by_room", f"WITH {VIEWS} SELECT room, CAST(i - 1 AS INTEGER) AS dim, round(sum(e[i]), 6) AS x FROM (SELECT *, {UNNEST} FROM v) GROUP BY room, i")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return long_form(pooling.sum_pool(views(spark, sf), ["room"]), "room")
+
+
+@query("pool_multi_scale", f"WITH {VIEWS}, s AS (SELECT vec_id, i, e[i] + e[i] * e[i] + abs(e[i]) AS x FROM (SELECT *, {UNNEST} FROM v)) SELECT vec_id AS id, CAST(i - 1 AS INTEGER) AS dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 6) AS x FROM s")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf).select(F.col("image_id").alias("id"), F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+    return long_form(pooling.multi_scale([v, v.withColumn("vec", F.transform("vec", lambda x: x * x)), v.withColumn("vec", F.transform("vec", lambda x: F.abs(x)))]), "id")
+
+
+@query("pool_gmp")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return long_form(pooling.gmp_pool(views(spark, sf), "room"), "room")
+
+
+@query("column_statistics", f"WITH {VIEWS} SELECT CAST(i - 1 AS INTEGER) AS dim, round(min(e[i]), 6) AS low, round(max(e[i]), 6) AS high, round(avg(e[i]), 6) AS mean, round(var_pop(e[i]), 6) AS variance FROM (SELECT *, {UNNEST} FROM v) GROUP BY i")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(pooling.column_statistics(views(spark, sf)), "low", "high", "mean", "variance")
+
+
+@query("node_statistics", f"WITH {VIEWS}, x AS (SELECT label, vec_id, e[i] - avg(e[i]) OVER (PARTITION BY label, i) AS d FROM (SELECT *, {UNNEST} FROM v)), y AS (SELECT label, vec_id, sum(d * d) AS dist FROM x GROUP BY label, vec_id) SELECT label, count(*) AS size, round(max(dist), 6) AS radius, round(avg(dist), 6) AS variance FROM y GROUP BY label")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf).withColumnRenamed("image_id", "id")
+    return rounded(pooling.node_statistics(v, "label"), "radius", "variance")
+
+
+# --- groups -------------------------------------------------------------------------------------------------------
+
+YAW = "(yaw_deg - 180) * pi() / 180"
+
+
+def radians(v: DataFrame) -> DataFrame:
+    return v.withColumn("yaw", (F.col("yaw_deg") - 180) * F.pi() / 180)
+
+
+@query("group_none", "WITH v AS (SELECT vec_id FROM embeddings) SELECT 'none' AS stage, CAST(vec_id AS VARCHAR) AS cluster, vec_id AS image_id FROM v")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return hierarchy.group_none(views(spark, sf))
+
+
+@query("group_room", f"WITH {VIEWS} SELECT 'room' AS stage, room AS cluster, vec_id AS image_id FROM v")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return hierarchy.group_room(views(spark, sf))
+
+
+@query("group_yaw_fixed", f"WITH {VIEWS} SELECT 'yaw_4' AS stage, room || '_' || CAST(floor(({YAW} + pi()) * 4 / (2 * pi())) AS INTEGER) AS cluster, vec_id AS image_id FROM v")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return hierarchy.group_yaw(radians(views(spark, sf)), 4)
+
+
+@query("group_yaw_adaptive", f"WITH {VIEWS}, n AS (SELECT room, count(DISTINCT pano) * 2 AS bins FROM v GROUP BY room) SELECT 'yawadap_2' AS stage, v.room || '_' || CAST(floor(({YAW} + pi()) * bins / (2 * pi())) AS INTEGER) AS cluster, vec_id AS image_id FROM v JOIN n ON v.room = n.room")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return hierarchy.group_yaw(radians(views(spark, sf)), 2, adaptive=True)
+
+
+@query("group_pano_bins", f"WITH {VIEWS} SELECT 'pano_8_3' AS stage, pano || '_' || CAST(floor(yaw_deg * 8 / 360) AS INTEGER) || '_' || CASE WHEN pitch_deg < -10 THEN 0 WHEN pitch_deg > 10 THEN 2 ELSE 1 END AS cluster, vec_id AS image_id FROM v")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    parsed = views(spark, sf).withColumn("filename", F.regexp_replace("filename", "_pitch_", "_p_"))
+    return hierarchy.group_pano(parsed, 8, 3)
+
+
+@query("group_custom", "WITH v AS (SELECT vec_id FROM embeddings), c AS (SELECT 'custom_' || (vec_id % 4) AS cluster, vec_id FROM v WHERE vec_id < 40) SELECT 'custom' AS stage, cluster, vec_id AS image_id FROM c")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    listed = spark.createDataFrame([(f"custom_{k}", [*range(k, 40, 4), 10**9]) for k in range(4)], "room string, ids array<bigint>")
+    made = hierarchy.group_custom(views(spark, sf), listed)
+    return made.withColumn("cluster", F.regexp_extract("cluster", r"^(custom_\d+)", 1))
+
+
+def two_stages(v: DataFrame) -> DataFrame:
+    return hierarchy.stages([hierarchy.group_room(v), v.select(F.lit("pano").alias("stage"), F.col("pano").alias("cluster"), "image_id")])
+
+
+STAGES = "st AS (SELECT 0 AS level, 'room' AS stage, room AS cluster, vec_id, e, pano FROM v UNION ALL SELECT 1, 'pano', pano, vec_id, e, pano FROM v)"
+NODES = f"{STAGES}, nx AS (SELECT level, stage, cluster, i, avg(e[i]) AS m FROM (SELECT *, {UNNEST} FROM st) GROUP BY ALL), nv AS (SELECT level, stage, cluster, list(m / l ORDER BY i) AS w FROM (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY stage, cluster)) AS l FROM nx) GROUP BY ALL)"
+
+
+@query("pool_mean_multistage", f"WITH {VIEWS}, {NODES} SELECT level, stage, cluster, CAST(i - 1 AS INTEGER) AS dim, round(w[i], 6) AS x FROM (SELECT *, {UNNEST} FROM nv)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    return long_form(hierarchy.pool_stages(two_stages(v), v), "level", "stage", "cluster")
+
+
+@query("stage_links", f"WITH {VIEWS} SELECT DISTINCT 0 AS level, room AS parent, pano AS child FROM v")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return hierarchy.links(two_stages(views(spark, sf)))
+
+
+@query("node_pano_frequency", f"WITH {VIEWS}, c AS (SELECT room AS cluster, pano, count(*) AS n FROM v GROUP BY room, pano) SELECT 'room' AS stage, cluster, pano, n, CAST(row_number() OVER (PARTITION BY cluster ORDER BY n DESC, pano) AS INTEGER) AS pos FROM c")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    return hierarchy.pano_frequency(hierarchy.group_room(v), v)
+
+
+@query("pano_table", f"WITH {VIEWS} SELECT pano, arg_min(room, vec_id) AS room, min(vec_id) AS first_image, count(*) AS n_images, round(arg_min(e[1], vec_id), 6) AS x FROM v GROUP BY pano")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    t = hierarchy.pano_table(views(spark, sf))
+    return t.select("pano", "room", "first_image", "n_images", F.round(F.get("location", F.lit(0)), 6).alias("x"))
+
+
+@query("dense_ids", f"WITH {VIEWS} SELECT vec_id AS image_id, pano, dense_rank() OVER (ORDER BY pano) - 1 AS pano_id FROM v")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return hierarchy.dense_ids(views(spark, sf).select("image_id", "pano"), "pano", "pano_id")
+
+
+TRUTH = "qs AS (SELECT qid, room, qe FROM q), pt AS (SELECT pano, arg_min(room, vec_id) AS room, arg_min(e, vec_id) AS e FROM v WHERE vec_id >= 20 GROUP BY pano), gm AS (SELECT qid, pt.pano, sqrt(list_sum(list_transform(list_zip(qe[1:3], pt.e[1:3]), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS dist FROM qs JOIN pt ON qs.room = pt.room), gr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, pano) AS place FROM gm), gt AS (SELECT qid, pano, dist FROM gr WHERE dist < 0.15 OR place = 1)"
+
+
+def truth_of(v: DataFrame, ignore_rooms: bool = False) -> DataFrame:
+    q = queries_of(v).withColumn("rooms", F.array("room"))
+    return hierarchy.ground_truth(q, hierarchy.pano_table(v.where("image_id >= 20")), 0.15, ignore_rooms)
+
+
+@query("ground_truth_fallback", f"WITH {VIEWS}, {TRUTH} SELECT qid, pano, round(dist, 6) AS dist FROM gt")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(truth_of(views(spark, sf)))
+
+
+@query("ground_truth_any_room", f"WITH {VIEWS}, {TRUTH.replace('JOIN pt ON qs.room = pt.room', ', pt')} SELECT qid, pano, round(dist, 6) AS dist FROM gt")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(truth_of(views(spark, sf), ignore_rooms=True))
+
+
+# --- ranking ------------------------------------------------------------------------------------------------------
+
+RANKED = f"h AS (SELECT qid, id, pano, {total('qe', 'e', 'dot')} AS dist FROM (SELECT qid, qe FROM q), d), vr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM h), fo AS (SELECT qid, pano, min(rank) AS f FROM vr GROUP BY qid, pano), pr AS (SELECT qid, pano, row_number() OVER (PARTITION BY qid ORDER BY f, pano) AS rank FROM fo)"
+APSQL = "mt AS (SELECT pr.qid, pr.rank AS j, row_number() OVER (PARTITION BY pr.qid ORDER BY pr.rank) AS i FROM pr JOIN gt ON pr.qid = gt.qid AND pr.pano = gt.pano), ar AS (SELECT qid, sum(((CASE WHEN j = 1 THEN 1.0 ELSE (i - 1) / (j - 1) END) + i / j) / 2) AS a FROM mt GROUP BY qid), np AS (SELECT qid, count(*) AS n FROM gt GROUP BY qid), ap AS (SELECT np.qid, coalesce(a, 0) / n AS ap FROM np LEFT JOIN ar ON np.qid = ar.qid), p1 AS (SELECT np.qid, CAST(count(gt.pano) AS DOUBLE) AS p FROM np LEFT JOIN pr ON pr.qid = np.qid AND pr.rank = 1 LEFT JOIN gt ON gt.qid = np.qid AND gt.pano = pr.pano GROUP BY np.qid)"
+
+
+def ranked_panos(v: DataFrame) -> DataFrame:
+    data = v.where("image_id >= 20").select(F.col("image_id").alias("id"), "vec", "pano")
+    hits = knn.knn_join(queries_of(v), data, 1_000_000, "dot")
+    return ranking.first_occurrence(hits.join(data.select("id", "pano"), "id"))
+
+
+@query("rank_panos_first_occurrence", f"WITH {VIEWS}, {RANKED} SELECT qid, pano, CAST(rank AS INTEGER) AS rank FROM pr")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return ranked_panos(views(spark, sf))
+
+
+@query("average_precision", f"WITH {VIEWS}, {TRUTH}, {RANKED}, {APSQL} SELECT qid, round(ap, 6) AS ap FROM ap")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    return rounded(ranking.average_precision(ranked_panos(v), truth_of(v)), "ap")
+
+
+@query("precision_at_1", f"WITH {VIEWS}, {TRUTH}, {RANKED}, {APSQL} SELECT qid, p AS p_at_k FROM p1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    return ranking.precision_at(ranked_panos(v), truth_of(v), 1)
+
+
+@query("map_summary", f"WITH {VIEWS}, {TRUTH}, {RANKED}, {APSQL} SELECT round(avg(ap) * 100, 6) AS map, round(avg(p) * 100, 6) AS p_at_1 FROM ap JOIN p1 ON ap.qid = p1.qid")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    panos, truth = ranked_panos(v), truth_of(v)
+    return rounded(ranking.summary(ranking.average_precision(panos, truth), ranking.precision_at(panos, truth, 1)), "map", "p_at_1")
+
+
+@query("weighted_map", f"WITH {VIEWS}, {TRUTH}, {RANKED}, {APSQL}, s AS (SELECT qid % 3 AS split, avg(ap) AS m, count(*) AS n FROM ap GROUP BY qid % 3) SELECT round(sum(m * n) / sum(n), 6) AS map FROM s")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    splits = ranking.average_precision(ranked_panos(v), truth_of(v)).groupBy((F.col("qid") % 3).alias("split")).agg(F.avg("ap").alias("map"), F.count(F.lit(1)).alias("n"))
+    return rounded(ranking.weighted_map(splits), "map")
+
+
+TWO = f"hh AS (SELECT qid, id, {total('qe', 'e')} AS dist, {total('qe', 'e', 'l1')} AS other FROM q, d), rr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rt, row_number() OVER (PARTITION BY qid ORDER BY other, id) AS rf FROM hh)"
+
+
+def two_rankings(v: DataFrame) -> tuple[DataFrame, DataFrame]:
+    q, d = queries_of(v), points_of(v)
+    near = knn.knn_join(q, d, 10)
+    by_l1 = knn.knn_join(q, d, 10, "l1").select("qid", "id", "rank")
+    both = by_l1.join(q.select("qid", F.col("vec").alias("qvec")), "qid").join(d.select("id", "vec"), "id")
+    return both.select("qid", "rank", "id", vectors.distance(F.col("qvec"), F.col("vec")).alias("dist")), near
+
+
+@query("knn_precision", f"WITH {VIEWS}, {TWO} SELECT qid, count(*) FILTER (WHERE rf <= 10) / 10.0 AS precision FROM rr WHERE rt <= 10 GROUP BY qid")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return ranking.neighbor_precision(*two_rankings(views(spark, sf)), 10)
+
+
+@query("knn_distance_precision", f"WITH {VIEWS}, {TWO} SELECT qid, count(*) FILTER (WHERE rf <= 10) / 10.0 AS precision FROM rr WHERE rt <= 10 GROUP BY qid")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return ranking.distance_precision(*two_rankings(views(spark, sf)), 10)
+
+
+@query("distance_ratio", f"WITH {VIEWS}, {TWO}, a AS (SELECT qid, rt AS rank, dist AS t FROM rr WHERE rt <= 10), b AS (SELECT qid, rf AS rank, dist AS f FROM rr WHERE rf <= 10) SELECT a.qid, round(avg(CASE WHEN t = 0 AND f = 0 THEN 1.0 ELSE f / t END), 6) AS ratio FROM a JOIN b ON a.qid = b.qid AND a.rank = b.rank GROUP BY a.qid")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ranking.distance_ratio(*two_rankings(views(spark, sf)), 10), "ratio")
+
+
+# --- search through the hierarchy ---------------------------------------------------------------------------------
+
+
+def tree_of(v: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    m = two_stages(v.where("image_id >= 20"))
+    nodes = hierarchy.pool_stages(m, v).select(F.col("cluster").alias("node"), "level", (F.col("level") == 1).alias("is_leaf"), "vec")
+    panos = hierarchy.pano_frequency(m, v).select(F.col("cluster").alias("node"), "pano", "pos")
+    return nodes, hierarchy.links(m).select("parent", "child"), panos
+
+
+TREE = NODES.replace("FROM v UNION", "FROM v WHERE vec_id >= 20 UNION").replace("vec_id, e, pano FROM v)", "vec_id, e, pano FROM v WHERE vec_id >= 20)")
+SCORED = f"sc AS (SELECT qid, level, cluster AS node, -({total('qe', 'w', 'dot')}) AS score FROM (SELECT qid, qe FROM q), nv)"
+
+
+@query("stage_scan", f"WITH {VIEWS}, {TREE}, {SCORED} SELECT qid, node AS pano, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, node) AS INTEGER) AS rank FROM sc WHERE level = 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    nodes, _, panos = tree_of(v)
+    return search.scan(queries_of(v), nodes.where("level = 1").select("node", "vec"), panos)
+
+
+BEAM = "rooms AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, node) AS r FROM sc WHERE level = 0), op AS (SELECT qid, node FROM rooms WHERE {open}), lv AS (SELECT sc.* FROM sc JOIN op ON sc.qid = op.qid AND sc.level = 1 AND starts_with(sc.node, op.node || '_')), al AS (SELECT qid, node, 0 AS grp, score FROM lv UNION ALL SELECT rooms.qid, rooms.node, 1, score FROM rooms LEFT JOIN op ON rooms.qid = op.qid AND rooms.node = op.node WHERE op.node IS NULL) SELECT qid, node, CAST(row_number() OVER (PARTITION BY qid ORDER BY grp, score DESC, node) AS INTEGER) AS place, count(*) OVER (PARTITION BY qid) AS n_met FROM al"
+
+
+@query("beam_rank", f"WITH {VIEWS}, {TREE}, {SCORED}, " + BEAM.format(open="r <= 3"))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    nodes, edges, _ = tree_of(v)
+    return search.beam(queries_of(v), nodes, edges, 3, 1)
+
+
+@query("beam_zscore", f"WITH {VIEWS}, {TREE}, {SCORED}, " + BEAM.replace("FROM sc WHERE level = 0)", "FROM (SELECT *, (score - avg(score) OVER (PARTITION BY qid)) / stddev_pop(score) OVER (PARTITION BY qid) AS z FROM sc WHERE level = 0))").format(open="z > 0.5"))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    nodes, edges, _ = tree_of(v)
+    return search.beam_by_score(queries_of(v), nodes, edges, 0.5, 1)
+
+
+@query("best_first_budget")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    nodes, edges, panos = tree_of(v)
+    return search.best_first(queries_of(v), nodes, edges, panos, [1, 4, 16])
+
+
+@query("best_first_sweep")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean average precision, precision at 1 and number of distances for each leaf budget."""
+    v = views(spark, sf)
+    nodes, edges, panos = tree_of(v)
+    found = search.best_first(queries_of(v), nodes, edges, panos, [1, 2, 4, 8, 16, 32])
+    truth = truth_of(v).join(found.select("budget").distinct(), F.lit(True)).withColumn("qid", F.struct("budget", "qid"))
+    keyed = found.withColumn("qid", F.struct("budget", "qid"))
+    ap, p1 = ranking.average_precision(keyed, truth), ranking.precision_at(keyed, truth, 1)
+    cost = keyed.groupBy("qid").agg(F.max("n_distances").alias("n_distances"))
+    joined = ap.join(p1, "qid").join(cost, "qid")
+    return joined.groupBy(F.col("qid.budget").alias("budget")).agg((F.avg("ap") * 100).alias("map"), (F.avg("p_at_k") * 100).alias("p_at_1"), F.avg("n_distances").alias("n_distances"))
+
+
+# --- hash tables, trees, quantization -----------------------------------------------------------------------------
+
+PLACES = lsh.sampled_bits(63, 4, 8)
+
+
+def key_sql(places: list[int], e: str) -> str:
+    return " + ".join(f"CASE WHEN {e}[{p + 1}] > 0 THEN {1 << i} ELSE 0 END" for i, p in enumerate(places))
+
+
+def lsh_sql(e: str, id_: str, source: str) -> str:
+    return " UNION ALL ".join(f"SELECT {t} AS table_no, {key_sql(p, e)} AS key, {id_} FROM {source}" for t, p in enumerate(PLACES))
+
+
+@query("lsh_bucket_join", f"WITH {VIEWS}, a AS ({lsh_sql('qe', 'qid', 'q')}), b AS ({lsh_sql('e', 'id', 'd')}) SELECT DISTINCT qid, id FROM a JOIN b ON a.table_no = b.table_no AND a.key = b.key")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = bits(views(spark, sf))
+    return lsh.candidates(queries_of(v), lsh.buckets(points_of(v), PLACES), PLACES, level=0)
+
+
+@query("lsh_multiprobe", f"WITH {VIEWS}, a AS ({lsh_sql('qe', 'qid', 'q')}), b AS ({lsh_sql('e', 'id', 'd')}), c AS (SELECT DISTINCT qid, id FROM a JOIN b ON a.table_no = b.table_no AND bit_count(xor(a.key, b.key)) <= 1), h AS (SELECT c.qid, c.id, CAST({BITS} AS DOUBLE) AS dist FROM c JOIN q ON c.qid = q.qid JOIN d ON c.id = d.id), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM h) SELECT qid, CAST(rank AS INTEGER) AS rank, id, dist FROM r WHERE rank <= 5")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = bits(views(spark, sf))
+    points = points_of(v)
+    return lsh.search(queries_of(v), points, lsh.buckets(points, PLACES), PLACES, 5, level=1)
+
+
+@query("lsh_bucket_stats", f"WITH {VIEWS}, b AS ({lsh_sql('e', 'id', 'd')}), s AS (SELECT table_no, key, count(*) AS size FROM b GROUP BY table_no, key) SELECT table_no, count(*) AS n_buckets, round(avg(size), 6) AS mean_size, median(size) AS median_size, min(size) AS min_size, max(size) AS max_size FROM s GROUP BY table_no")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(lsh.bucket_statistics(lsh.buckets(points_of(bits(views(spark, sf))), PLACES)), "mean_size")
+
+
+@query("lsh_bucket_histogram", f"WITH {VIEWS}, b AS ({lsh_sql('e', 'id', 'd')}), s AS (SELECT table_no, key, count(*) AS size FROM b GROUP BY table_no, key) SELECT table_no, CAST(floor(size / 20) * 20 AS BIGINT) AS low, count(*) AS n FROM s GROUP BY ALL")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return lsh.bucket_histogram(lsh.buckets(points_of(bits(views(spark, sf))), PLACES))
+
+
+EXACT = {
+    "kd_search_exact": Params("kdtree_single", leaf_size=10),
+    "kd_forest_exact": Params("kdtree", trees=2),
+    "kmeans_tree_search": Params("kmeans", branching=8),
+    "hierarchical_search": Params("hierarchical", branching=8, trees=2, leaf_size=20),
+    "composite_search": Params("composite", branching=8, trees=1),
+    "linear_search": Params("linear"),
+}
+for _name, _params in EXACT.items():
+
+    @query(_name, knn_sql(total("qe", "e")))
+    def _(spark: SparkSession, sf: str, params: Params = _params) -> DataFrame:
+        v = views(spark, sf)
+        return rounded(index.build_index(points_of(v), params).search(queries_of(v), 5, checks=-1))
+
+
+@query("index_add_remove", knn_sql(total("qe", "e"), where="id % 9 <> 0"))
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    points = points_of(v)
+    built = index.build_index(points.where("id % 3 <> 0"), Params("kmeans", branching=8))
+    grown = built.add_points(points.where("id % 3 = 0")).remove_points(points.where("id % 9 = 0"))
+    return rounded(grown.search(queries_of(v), 5, checks=-1))
+
+
+@query("kmeans_tree_nodes")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    built = index.build_index(points_of(views(spark, sf)), Params("kmeans", branching=8))
+    return built.nodes.select("shard", "tree", "node", "parent", "depth", "is_leaf", "radius", "variance", F.size("members").alias("n_members"))
+
+
+@query("kd_forest_approximate")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    return rounded(index.build_index(points_of(v), Params("kdtree")).search(queries_of(v), 5, checks=128))
+
+
+@query("autotuned_search")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    built, checks = index.autotune(points_of(v), Params("autotuned", sample_fraction=0.5))
+    return rounded(built.search(queries_of(v), 5, checks=checks))
+
+
+CENTERS = "c AS (SELECT id AS cid, e AS w FROM d WHERE id < 28)"
+NEAREST = f"nn AS (SELECT id, d.e, cid, {total('d.e', 'c.w')} AS dist FROM d, c), best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, cid) AS r FROM nn)"
+
+
+def fixed_centers(v: DataFrame) -> DataFrame:
+    return points_of(v).where("id < 28").select(F.col("id").alias("cid"), "vec")
+
+
+@query("kmeans_assign", f"WITH {VIEWS}, {CENTERS}, {NEAREST} SELECT id, cid AS center, round(dist, 6) AS dist FROM best WHERE r = 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    return rounded(quantize.assign(points_of(v), fixed_centers(v)))
+
+
+@query("kmeans_one_lloyd", f"WITH {VIEWS}, {CENTERS}, {NEAREST} SELECT cid, CAST(i - 1 AS INTEGER) AS dim, round(avg(e[i]), 6) AS x FROM (SELECT cid, e, {UNNEST} FROM best WHERE r = 1) GROUP BY cid, i")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    return long_form(quantize.lloyd_step(points_of(v), fixed_centers(v)), "cid")
+
+
+def books(v: DataFrame) -> DataFrame:
+    """Four slices of 16 elements; the codes are the slices of the points 20 to 35."""
+    few = points_of(v).where("id < 36")
+    return few.select(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("part"), (F.col("id") - 20).cast("int").alias("code"), "vec").select("part", "code", F.transform(F.slice("vec", F.col("part") * 16 + 1, 16), lambda x: x.cast("double")).alias("vec"))
+
+
+CODES = f"cb AS (SELECT p AS part, id - 20 AS code, e[p * 16 + 1 : p * 16 + 16] AS w FROM d, range(4) t(p) WHERE id < 36), cd AS (SELECT id, part, arg_min(code, dist * 1000000 + code * 1e-6) AS code FROM (SELECT id, part, code, {total('e[part * 16 + 1 : part * 16 + 16]', 'w')} AS dist FROM d, cb) GROUP BY id, part)"
+
+
+@query("pq_encode", f"WITH {VIEWS}, {CODES} SELECT id, string_agg(CAST(code AS VARCHAR), ',' ORDER BY part) AS codes FROM cd GROUP BY id")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    return quantize.encode(points_of(v), books(v)).select("id", F.array_join(F.transform("codes", lambda x: x.cast("string")), ",").alias("codes"))
+
+
+@query("pq_adc_search", f"WITH {VIEWS}, {CODES}, h AS (SELECT qid, cd.id, round(sum({total('qe[cd.part * 16 + 1 : cd.part * 16 + 16]', 'w')}), 9) AS dist FROM q, cd JOIN cb ON cd.part = cb.part AND cd.code = cb.code GROUP BY qid, cd.id), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM h) SELECT qid, CAST(rank AS INTEGER) AS rank, id, round(dist, 6) AS dist FROM r WHERE rank <= 10")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    made = quantize.adc_search(queries_of(v), quantize.encode(points_of(v), books(v)), books(v))
+    return rounded(knn.ranked(made.select("qid", "id", F.round("dist", 9).alias("dist")), 10))
+
+
+@query("pq_trained_search")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    trained = quantize.train_codebooks(points_of(v), 8, 32)
+    return rounded(quantize.adc_search(queries_of(v), quantize.encode(points_of(v), trained), trained, 10))
+
+
+@query("room_count_select")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    panos = hierarchy.pano_table(views(spark, sf)).select(F.xxhash64("pano").alias("id"), F.col("location").alias("vec"))
+    return rounded(quantize.choose_count(panos, 0.08, most=20), "mean_dist")
+
+
+@query("room_spread", f"WITH {VIEWS}, x AS (SELECT room, vec_id, e[i] - avg(e[i]) OVER (PARTITION BY room, i) AS o FROM (SELECT room, vec_id, e, unnest([1, 2, 3]) AS i FROM v)), y AS (SELECT room, vec_id, sqrt(sum(o * o)) AS dist FROM x GROUP BY room, vec_id) SELECT round(avg(dist), 6) AS mean_dist FROM y")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf).select("room", F.col("image_id").alias("id"), F.col("location").alias("vec"))
+    return rounded(quantize.mean_spread(v, "room"), "mean_dist")
+
+
+# --- preparation --------------------------------------------------------------------------------------------------
+
+
+@query("room_label_join", f"WITH {VIEWS} SELECT vec_id AS image_id, 'label ' || (label % 4) AS label FROM v")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    labels = v.select(prep.stem(F.col("filename")).alias("stem"), F.concat(F.lit("label "), (F.col("label") % 4).cast("string")).alias("label"), F.col("image_id").alias("line"))
+    return prep.label_rooms(v.select("image_id", "filename"), labels, "line").select("image_id", "label")
+
+
+@query("split_checks", f"WITH {VIEWS} SELECT (SELECT count(*) FROM q JOIN d ON qid = id) AS shared, (SELECT count(*) - count(DISTINCT vec_id) + greatest(max(vec_id) + 1 - count(*), 0) FROM v) AS violations")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    shared = prep.overlap(queries_of(v).select(F.col("qid").alias("id")), points_of(v).select("id"), "id").agg(F.count(F.lit(1)).alias("shared"))
+    return shared.join(prep.consecutive_violations(v, "image_id"), F.lit(True))
+
+
+@query("blocklist_scan", f"WITH {VIEWS}, f AS (SELECT vec_id, lpad(CAST(vec_id % 1000 AS VARCHAR), 3, '0') AS number FROM v) SELECT vec_id AS id FROM f WHERE number NOT IN ('003', '014', '159')")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    scans = views(spark, sf).select(F.col("image_id").alias("id"), F.concat(F.lit("DUC_scan_"), F.lpad((F.col("image_id") % 1000).cast("string"), 3, "0"), F.lit(".ptx.mat")).alias("filename"))
+    return prep.without_blocked(scans, spark.createDataFrame([("003",), ("014",), ("159",)], "number string")).select("id")
+
+
+@query("resample_views", f"WITH {VIEWS}, n AS (SELECT vec_id, row_number() OVER (PARTITION BY pano ORDER BY vec_id) - 1 AS pos FROM v) SELECT vec_id AS image_id, CAST(pos AS INTEGER) AS pos FROM n WHERE (pos // 3) % 4 = 0 AND pos % 3 = 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    v = views(spark, sf).withColumn("pos", F.row_number().over(Window.partitionBy("pano").orderBy("image_id")) - 1)
+    return prep.resample(v, 12, 1).select("image_id", "pos")
+
+
+@query("union_datasets", f"WITH {VIEWS}, n AS (SELECT max(vec_id) + 1 AS m FROM v) SELECT vec_id AS id, 'a' AS dataset, 'a_' || room AS room FROM v UNION ALL SELECT vec_id + m, 'b', 'b_' || room FROM v, n")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf).select(F.col("image_id").alias("id"), "room")
+    return prep.union_with_offsets([("a", v), ("b", v)]).select("id", "dataset", "room")
+
+
+@query("view_grid", f"WITH {VIEWS}, p AS (SELECT DISTINCT pano FROM v), g AS (SELECT pano, y AS ind_yaw, y * 7.5 AS yaw_deg, unnest([-15.0, 0.0, 15.0]) AS pitch_deg FROM p, range(48) t(y)) SELECT pano, CAST(ind_yaw AS INTEGER) AS ind_yaw, CAST(yaw_deg AS DOUBLE) AS yaw_deg, CAST(pitch_deg AS DOUBLE) AS pitch_deg, printf('%s_yaw_%.1f_pitch_%.1f.png', pano, CAST(yaw_deg AS DOUBLE), CAST(pitch_deg AS DOUBLE)) AS filename FROM g")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return prep.view_grid(views(spark, sf).select("pano").distinct())
+
+
+@query("filename_angles", f"WITH {VIEWS} SELECT vec_id AS image_id, CAST(yaw_deg AS DOUBLE) AS yaw, CAST(pitch_deg AS DOUBLE) AS pitch, CASE WHEN pitch_deg < -10 THEN 0 WHEN pitch_deg > 10 THEN 2 ELSE 1 END AS band FROM v")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    tilt = hierarchy.pitch(F.col("filename"))
+    return v.select("image_id", hierarchy.rel_yaw(F.col("filename")).alias("yaw"), tilt.alias("pitch"), hierarchy.pitch_bin(tilt).alias("band"))
+
+
+@query("quaternion_yaw", f"WITH {VIEWS}, r AS (SELECT vec_id, e[1] AS x, e[2] AS y, e[3] AS z, e[4] AS w FROM v) SELECT vec_id AS image_id, round(atan2(2 * (y * z + x * w), w * w - x * x - y * y + z * z), 6) AS yaw FROM r")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    q = F.transform(F.slice("vec", 1, 4), lambda x: x.cast("double"))
+    return rounded(views(spark, sf).select("image_id", hierarchy.quaternion_yaw(q).alias("yaw")), "yaw")
+
+
+@query("camera_poses", f"WITH {VIEWS}, a AS (SELECT vec_id, radians(yaw_deg) AS y, radians(pitch_deg) AS p, e[1] AS t1, e[2] AS t2, e[3] AS t3 FROM v) SELECT vec_id AS image_id, round(-(cos(y) * cos(p) * t1 + sin(y) * cos(p) * t2 - sin(p) * t3), 6) AS px, round(-(-sin(y) * t1 + cos(y) * t2), 6) AS py, round(-(cos(y) * sin(p) * t1 + sin(y) * sin(p) * t2 + cos(p) * t3), 6) AS pz, 0.0::DOUBLE AS error FROM a")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf).withColumn("r", prep.rotation(F.radians("yaw_deg"), F.radians("pitch_deg"), F.lit(0.0)))
+    p = v.select("image_id", prep.camera_position(F.col("r"), F.col("location")).alias("p"), F.round(prep.orthonormal_error(F.col("r")), 9).alias("error"))
+    return rounded(p.select("image_id", F.get("p", F.lit(0)).alias("px"), F.get("p", F.lit(1)).alias("py"), F.get("p", F.lit(2)).alias("pz"), "error"), "px", "py", "pz")
+
+
+@query("sphere_pixels", f"WITH {VIEWS} SELECT vec_id AS image_id, CAST((vec_id * 7) % 640 AS DOUBLE) AS x, CAST((vec_id * 3) % 320 AS DOUBLE) AS y FROM v")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    w, h = F.lit(640.0), F.lit(320.0)
+    v = views(spark, sf).select("image_id", ((F.col("image_id") * 7) % 640).alias("x"), ((F.col("image_id") * 3) % 320).alias("y"))
+    back = v.select("image_id", "x", prep.direction_pixel(prep.pixel_direction(F.col("x"), F.col("y"), w, h), w, h).alias("p"))
+    # The top row is one point of the sphere, from which no column can be read back.
+    column = F.when(F.abs(F.get("p", F.lit(1))) < 1e-6, F.col("x").cast("double")).otherwise(F.pmod(F.round(F.get("p", F.lit(0)), 6), F.lit(640.0)))
+    return back.select("image_id", column.alias("x"), F.abs(F.round(F.get("p", F.lit(1)), 6)).alias("y"))
+
+
+@query("average_locations", f"WITH {VIEWS} SELECT pano, round(avg(e[1]), 6) AS x, round(avg(e[2]), 6) AS y, round(avg(e[3]), 6) AS z FROM v GROUP BY pano")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    a = prep.average_locations(views(spark, sf))
+    return rounded(a.select("pano", *[F.get("location", F.lit(i)).alias(c) for i, c in enumerate("xyz")]), "x", "y", "z")
+
+
+@query("missing_vectors", f"WITH {VIEWS} SELECT vec_id AS id FROM v WHERE vec_id % 4 <> 0 OR vec_id % 8 = 0")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf).select(F.col("image_id").alias("id"), "vec")
+    stored = v.where("id % 4 = 0").withColumn("vec", F.when(F.col("id") % 8 != 0, F.col("vec")))
+    return prep.missing_rows(v.select("id"), stored)
+
+
+@query("sample_without_replacement")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return prep.sample_rows(views(spark, sf).select(F.col("image_id").alias("id")), 50, seed=3)[0]
+
+
+@query("windowed_counts", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return windowed_counts(spark.read.parquet(f"{sf}/events.parquet")).withColumn("total", F.round("total", 4))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return ORACLE
