@@ -39,7 +39,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def link_groups(buckets: DataFrame, may: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_groups(buckets: DataFrame, may: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame] | None = None, few: int = 8) -> DataFrame:
     """Components of the links among rows that share a bucket: ``node, root`` of every node that has a link.
 
     ``buckets``: ``bucket, node, mark``. ``may(mark, mark)`` is an exact bound that a link must meet; ``verify`` keeps
@@ -48,6 +48,9 @@ def link_groups(buckets: DataFrame, may: Callable[[Column, Column], Column], ver
     Links within one component tell nothing new. So at first each member is compared with the first of its bucket and
     with the one before it, in the order of the marks. Then, in buckets whose members fell into several components,
     every pair across two components is compared. The result equals that of comparing all pairs.
+
+    With ``compare``, only buckets of up to ``few`` rows are cut into pairs, a bounded number for each row. Larger ones
+    that have rows in common are put together, and ``compare`` gets these groups (``node, root``) to link within.
     """
     order = Window.partitionBy("bucket").orderBy("mark", "node")
     seen = buckets.select(
@@ -64,13 +67,21 @@ def link_groups(buckets: DataFrame, may: Callable[[Column, Column], Column], ver
     labelled = shared.select("bucket", "node", "mark").join(joined, "node", "left").select("bucket", "node", "mark", F.coalesce("root", "node").alias("part"))
     open_ = labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("bucket")
     labelled = reliable(labelled.join(open_, "bucket"))
+    found = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    more = False
+    if compare is not None:
+        sizes = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
+        large = reliable(labelled.join(sizes.where(F.col("rows") > few), "bucket").select("node", "bucket"))
+        labelled = labelled.join(sizes.where(F.col("rows") <= few), "bucket").drop("rows")
+        if not large.isEmpty():
+            together = components(large.select(F.col("node").alias("a"), F.col("bucket").alias("b"))).join(large.select("node").distinct(), "node")
+            found, more = found.unionByName(compare(together).select("a", "b")), True
     parts = labelled.select("bucket", "part").distinct()
     across = parts.select("bucket", F.col("part").alias("p")).join(parts.select("bucket", F.col("part").alias("q")), "bucket").where("p < q")
     left = labelled.select("bucket", F.col("part").alias("p"), F.col("node").alias("a"), F.col("mark").alias("am"))
     right = labelled.select("bucket", F.col("part").alias("q"), F.col("node").alias("b"), F.col("mark").alias("bm"))
     met = across.join(left, ["bucket", "p"]).join(right, ["bucket", "q"]).where(may(F.col("am"), F.col("bm")))
     later = reliable(_ordered(met.select("a", "b")).join(first, ["a", "b"], "left_anti"))
-    if later.isEmpty():
-        return joined
-    links = verify(later)
-    return components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links.select("a", "b")))
+    if not later.isEmpty():
+        found, more = found.unionByName(verify(later).select("a", "b")), True
+    return components(found) if more else joined

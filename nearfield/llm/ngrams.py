@@ -107,7 +107,7 @@ class Join:
         self.classes = reliable(self.signed.where("n > 0").groupBy("k1", "k2", "n", "bands").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_id"), first))
         self._sets: DataFrame | None = None
         buckets = self.classes.select(F.explode("bands").alias("bucket"), F.col("k1").alias("node"), F.col("n").alias("mark"))
-        self.groups = reliable(link_groups(buckets, self._may, self._verify))
+        self.groups = reliable(link_groups(buckets, self._may, self._verify, self._compare))
 
     def _may(self, a: Column, b: Column) -> Column:
         return F.least(a, b) >= F.lit(self.similarity - 1e-9) * F.greatest(a, b)
@@ -132,25 +132,53 @@ class Join:
         common = F.size(F.array_intersect("x", "y"))
         return both.where(common >= F.lit(self.similarity - 1e-9) * (F.size("x") + F.size("y") - common)).select("a", "b")
 
-    def links(self) -> DataFrame:
-        """``node, linked``: how many documents have another n-gram set that is similar enough to the node's.
+    def _tasks(self, groups: DataFrame) -> DataFrame:
+        """Every pair of blocks of each group's members as one bounded run of rows, sorted together.
 
-        All pairs of a component are compared, block against block: a component's members are dealt into blocks of
-        about ``BLOCK``, each pair of blocks is one bounded task, and only counts leave it.
+        A group's members are dealt into blocks of about ``BLOCK``; a row goes to its block's task with each block.
         """
-        sizes = self.groups.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-        dealt = self.groups.join(sizes, "root").withColumn("blocks", F.expr(f"(members + {BLOCK - 1}) div {BLOCK}"))
+        sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
+        dealt = groups.join(sizes, "root").withColumn("blocks", F.expr(f"(members + {BLOCK - 1}) div {BLOCK}"))
         dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
-        dealt = self.sets(self.groups.select("node")).join(dealt, "node")
+        dealt = self.sets(groups.select("node")).join(dealt, "node")
         tasks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         tasks = tasks.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "root", "own", "other", "node", "copies", "grams")
-        tasks = tasks.repartition("task").sortWithinPartitions("task", "root")
-        counted = tasks.mapInArrow(_counter(self.similarity), "node bigint, linked bigint")
-        return counted.groupBy("node").agg(F.sum("linked").alias("linked"))
+        return tasks.repartition("task").sortWithinPartitions("task", "root")
+
+    def links(self) -> DataFrame:
+        """``node, linked``: how many documents have another n-gram set that is similar enough to the node's.
+
+        All pairs of a component are compared, block against block, and only counts leave a task.
+        """
+        counted = self._tasks(self.groups).mapInArrow(_kernel(self.similarity, _count), "node bigint, value bigint")
+        return counted.groupBy("node").agg(F.sum("value").alias("linked"))
+
+    def _compare(self, groups: DataFrame) -> DataFrame:
+        """Links that join what is linked within the groups: each task gives a tree over its linked rows, not all pairs."""
+        return self._tasks(groups).mapInArrow(_kernel(self.similarity, _join), "node bigint, value bigint").select(F.col("node").alias("a"), F.col("value").alias("b"))
+
+
+def _count(near: np.ndarray, rows: list[tuple]) -> list[tuple[int, int]]:
+    copies = np.array([r[4] for r in rows])
+    return list(zip((r[3] for r in rows), (near @ copies).tolist()))
+
+
+def _join(near: np.ndarray, rows: list[tuple]) -> list[tuple[int, int]]:
+    found, left = [], np.ones(len(rows), bool)
+    for i in range(len(rows)):
+        if left[i]:
+            left[i] = False
+            front = [i]
+            while front:
+                new = np.flatnonzero(near[front].any(axis=0) & left)
+                left[new] = False
+                found += [(rows[j][3], rows[i][3]) for j in new]
+                front = new.tolist()
+    return found
 
 
-def _counter(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts similar partners for runs of rows of one task; a run is two blocks of one component."""
+def _kernel(similarity: float, of: Callable[[np.ndarray, list[tuple]], list[tuple[int, int]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Compares the rows of each task with each other (a run of rows holds two blocks of one group)."""
 
     def similar(grams: list[np.ndarray]) -> np.ndarray:
         sizes = np.array([len(g) for g in grams])
@@ -178,8 +206,7 @@ def _counter(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator
         other = np.array([r[2] for r in rows])
         if (own != other).any():  # two blocks: those within one block are counted by the block's own task
             near &= own[:, None] != own[None, :]
-        copies = np.array([r[4] for r in rows])
-        return list(zip((r[3] for r in rows), (near @ copies).tolist()))
+        return of(near, rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -200,7 +227,7 @@ def _counter(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 def _counts(rows: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["node", "linked"])
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["node", "value"])
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
