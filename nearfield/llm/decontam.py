@@ -15,11 +15,11 @@ from .common import map_texts, reliable
 WINDOW = 13
 #: Benchmark bytes that one pass holds in a worker; a larger benchmark is searched in several passes.
 PASS_BYTES = 32 << 20
-CONTAMINATED = "_n_hit > 0 AND 20 * _n_hit >= _n_words"
+CONTAMINATED = "_nf_n_hit > 0 AND 20 * _nf_n_hit >= _nf_n_words"
 
 _SEPARATORS = bytes(32 if c <= 0x2F or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
-HITS = T.StructType([T.StructField("_n_words", T.LongType()), T.StructField("_n_hit", T.LongType()), T.StructField("_hits", T.ArrayType(T.LongType())), T.StructField("_items", T.ArrayType(T.StringType()))])
+HITS = T.StructType([T.StructField("_nf_n_words", T.LongType()), T.StructField("_nf_n_hit", T.LongType()), T.StructField("_nf_hits", T.ArrayType(T.LongType())), T.StructField("_nf_items", T.ArrayType(T.StringType()))])
 
 
 def words_of(text: str) -> list[bytes]:
@@ -80,7 +80,7 @@ def patterns_of(items: list[tuple[str, str]], window: int = WINDOW) -> list[dict
 
 
 def _search(docs: DataFrame, items: list[tuple[str, str]], window: int, keep_text: bool) -> DataFrame:
-    """Adds to what earlier passes found (columns ``_hits`` and ``_items``) what these items have."""
+    """Adds to what earlier passes found (columns ``_nf_hits`` and ``_nf_items``) what these items have."""
 
     def start() -> Callable[..., tuple]:
         matchers = [WuManber(p) for p in patterns_of(items, window)]
@@ -106,7 +106,7 @@ def _search(docs: DataFrame, items: list[tuple[str, str]], window: int, keep_tex
 
         return search
 
-    return map_texts(docs, start, HITS, also=("_hits", "_items"), keep_text=keep_text)
+    return map_texts(docs, start, HITS, also=("_nf_hits", "_nf_items"), keep_text=keep_text)
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, window: int, pass_bytes: int, keep_text: bool) -> DataFrame:
@@ -115,13 +115,13 @@ def marked(docs: DataFrame, benchmark: DataFrame, window: int, pass_bytes: int,
     The benchmark's bytes are summed first. Up to ``pass_bytes`` one pass over the documents searches all items, else
     the items are cut into so many hash classes and each class has its pass, which adds to the spans of those before.
     """
-    found = docs.select("*", F.lit(None).cast("array<bigint>").alias("_hits"), F.lit(None).cast("array<string>").alias("_items"))
+    found = docs.select("*", F.lit(None).cast("array<bigint>").alias("_nf_hits"), F.lit(None).cast("array<string>").alias("_nf_items"))
     named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     passes = max(1, -(-int(named.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // pass_bytes))
     for k in range(passes):
         items = [(r.item_id, r.text) for r in named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()]
         if k:  # else the workers of all passes would stand in memory at once
-            found = reliable(found.drop("_n_words", "_n_hit"))
+            found = reliable(found.drop("_nf_n_words", "_nf_n_hit"))
         found = _search(found, items, window, keep_text=keep_text or k + 1 < passes)
     return found
 
@@ -138,12 +138,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     need = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return marked(need, benchmark, window, pass_bytes, keep_text=False).select(
         "doc_id",
-        F.col("_n_words").alias("n_words"),
-        F.col("_n_hit").alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
+        F.col("_nf_n_words").alias("n_words"),
+        F.col("_nf_n_hit").alias("n_hit"),
+        F.size("_nf_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("_nf_items", ","), 256).alias("items_sha256"),
         F.expr(CONTAMINATED).alias("contaminated"),
-        F.col("_hits").alias("hit_spans"),
+        F.col("_nf_hits").alias("hit_spans"),
     )
 
 

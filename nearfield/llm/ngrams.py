@@ -259,12 +259,12 @@ def keep(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, re
     firsts = joined.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("win"))
     winners = joined.join(firsts, "root", "left").where("copies > 1 OR root IS NOT NULL").select("k1", "k2", F.coalesce("win", "first").alias("win"))
     lost = j.signed.where("n > 0").join(winners, ["k1", "k2"]).where(~F.struct("doc_id", "text_hash").eqNullSafe(F.col("win")))
-    lost = reliable(lost.select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).distinct())
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))
+    lost = reliable(lost.select(F.col("doc_id").alias("_nf_i"), F.col("text_hash").alias("_nf_h")).distinct())
+    hashed = docs.withColumn("_nf_hash", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_nf_i")) & (F.col("_nf_hash") == F.col("_nf_h"))
     kept = hashed.join(small(lost, lost.count()), same, "left_anti")
-    twice = reliable(j.signed.where("n > 0").groupBy(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
+    twice = reliable(j.signed.where("n > 0").groupBy(F.col("doc_id").alias("_nf_i"), F.col("text_hash").alias("_nf_h")).agg(F.count(F.lit(1)).alias("_nf_n")).where("_nf_n > 1").drop("_nf_n"))
     if n := twice.count():
-        again = kept.join(small(twice, n), same, "left_semi").dropDuplicates(["doc_id", "_hash"])
+        again = kept.join(small(twice, n), same, "left_semi").dropDuplicates(["doc_id", "_nf_hash"])
         kept = kept.join(small(twice, n), same, "left_anti").unionByName(again)
     return kept.select(*docs.columns)

@@ -111,7 +111,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     if misses:
         same = [digested["digest"].eqNullSafe(F.col("m_digest")), digested["doc_id"].eqNullSafe(F.col("m_id"))]
         named = missing.select(F.col("digest").alias("m_digest"), F.col("doc_id").alias("m_id"))
-        if misses > BROADCAST_ROWS and total - misses <= BROADCAST_ROWS:  # the rows to skip are the shorter list
+        if total - misses < min(misses, BROADCAST_ROWS):  # the rows to skip are the shorter list
             others = keys.join(missing.select("digest", "doc_id"), [keys["digest"] == missing["digest"], keys["doc_id"].eqNullSafe(missing["doc_id"])], "left_anti")
             skip = others.select(F.col("digest").alias("m_digest"), F.col("doc_id").alias("m_id"))
             todo = digested.join(F.broadcast(skip), same, "left_anti")
