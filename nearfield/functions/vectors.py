@@ -94,7 +94,8 @@ def center(v: Column, mean: Column) -> Column:
 
 def sign_bits(v: Column) -> Column:
     """The signs of up to 63 elements packed into a long, the first in the lowest bit."""
-    places = F.transform(v, lambda x, i: F.when(x > 0, F.shiftleft(F.lit(1).cast("long"), 0) * F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long")))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    places = F.transform(v, lambda x, i: F.when(x > 0, F.call_function("shiftleft", one, i)).otherwise(none))
     return F.aggregate(places, F.lit(0).cast("long"), lambda a, x: a + x)
 
 

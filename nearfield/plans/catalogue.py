@@ -66,7 +66,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         QUERIES[name] = f
         if sql is not None:
-            ORACLE[name] = sql if sql.lstrip().upper().startswith("WITH") or "FROM" in sql and "{V}" not in sql else f"WITH {VIEWS} {sql}"
+            ORACLE[name] = sql
         return f
 
     return keep
@@ -185,9 +185,6 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return long_form(pooling.center_all(v, pooling.column_mean(v), unit=False), "image_id")
 
 
-POOLED = "list_transform(w, lambda x: x / sqrt(list_sum(list_transform(w, lambda y: y * y))))"
-
-
 def pool_sql(keys: str, source: str = "v", unit: bool = True) -> str:
     return f"WITH {VIEWS}, x AS (SELECT {keys}, i, avg(e[i]) AS m FROM (SELECT *, {UNNEST} FROM {source}) GROUP BY {keys}, i), w AS (SELECT {keys}, i, m, sqrt(sum(m * m) OVER (PARTITION BY {keys})) AS l FROM x) SELECT {keys}, CAST(i - 1 AS INTEGER) AS dim, round(m / {'l' if unit else '1'}, 6) AS x FROM w"
 
