@@ -60,12 +60,13 @@ def link_groups(buckets: DataFrame, may: Callable[[Column, Column], Column], ver
         F.lead("node").over(order).alias("next"),
     )
     shared = reliable(seen.where("last IS NOT NULL OR next IS NOT NULL").drop("next"))
-    near = F.array(F.struct(F.col("top").alias("b"), F.col("top_mark").alias("m")), F.struct(F.col("last").alias("b"), F.col("last_mark").alias("m")))
-    pairs = shared.select(F.col("node").alias("a"), "mark", F.explode(near).alias("x")).select("a", F.col("x.b").alias("b"), "mark", F.col("x.m").alias("m"))
-    first = reliable(_ordered(pairs.where((F.col("a") != F.col("b")) & may(F.col("mark"), F.col("m")))))
+    tops = shared.where((F.col("node") != F.col("top")) & may(F.col("mark"), F.col("top_mark"))).select(F.col("node").alias("a"), F.col("top").alias("b"))
+    lasts = shared.where((F.col("node") != F.col("last")) & may(F.col("mark"), F.col("last_mark"))).select(F.col("node").alias("a"), F.col("last").alias("b"))
+    first = reliable(_ordered(tops.unionByName(lasts)))
     joined = components(verify(first))
     labelled = shared.select("bucket", "node", "mark").join(joined, "node", "left").select("bucket", "node", "mark", F.coalesce("root", "node").alias("part"))
-    open_ = labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("bucket")
+    # Of up to three rows every pair has been compared above.
+    open_ = labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("rows")).where("low != high AND rows > 3").select("bucket")
     labelled = reliable(labelled.join(open_, "bucket"))
     found = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
     more = False
