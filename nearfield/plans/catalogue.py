@@ -605,7 +605,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("blocklist_scan", f"WITH {VIEWS}, f AS (SELECT vec_id, lpad(CAST(vec_id % 1000 AS VARCHAR), 3, '0') AS number FROM v) SELECT vec_id AS id FROM f WHERE number NOT IN ('003', '014', '159')")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    scans = views(spark, sf).select(F.col("image_id").alias("id"), F.concat(F.lit("DUC_scan_"), F.lpad((F.col("image_id") % 1000).cast("string"), 3, "0"), F.lit(".ptx.mat")).alias("filename"))
+    scans = views(spark, sf).select(F.col("image_id").alias("id"), F.concat(F.lit("scan_"), F.lpad((F.col("image_id") % 1000).cast("string"), 3, "0"), F.lit(".ptx.mat")).alias("filename"))
     return prep.without_blocked(scans, spark.createDataFrame([("003",), ("014",), ("159",)], "number string")).select("id")
 
 
