@@ -125,6 +125,25 @@ def test_fuzzy_lines_join(spark):
     assert got == {1: " ".join(words), 2: "other line" + ("" if close else "\n" + " ".join(near)), 3: "", 4: "a\n"}
 
 
+def test_most_lines_of_edit_similarity_are_found(spark):
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    rows, kinds = [], (12, 20, 50, 100)
+    for k, n in enumerate(kinds):
+        for i in range(100):
+            a = [word() for _ in range(n)]
+            b = list(a)
+            for at in rng.sample(range(n), max(1, n // 20)):
+                b[at] = "x" + b[at][1:-1] + "y"
+            assert edit(" ".join(a), " ".join(b)) <= int(0.1 * max(len(" ".join(a)), len(" ".join(b))) + 1e-6)
+            rows += [(1000 * k + 2 * i, " ".join(a)), (1000 * k + 2 * i + 1, " ".join(b))]
+    made = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = collections.Counter(r.doc_id // 1000 for r in lines.line_digest(made).collect() if r.n_removed)
+    assert all(found[k] >= 95 for k in range(len(kinds))), found
+
+
 def test_masks_meet_every_close_pair():
     import random
 
