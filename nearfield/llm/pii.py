@@ -83,7 +83,8 @@ SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 #: Letters that stand for digits between digits.
 DIGIT_LIKE = {"O": "0", "o": "0", "I": "1", "l": "1", "|": "1"}
 
-#: Dashes and narrow spaces are common in clean texts, and alone no reason to look closer.
+#: Dashes and narrow spaces are common in clean texts, and a reason to look closer only between digits.
+_PARTED = re.compile(r"[0-9)][\x20.-]*[" + "".join(c for c in LOOKALIKES if not c.isalpha()) + r"]+[\x20.(-]*[0-9]")
 _STRANGE = re.compile("[" + INVISIBLE + "".join(c for c in LOOKALIKES if c.isalpha()) + "․。！-～٠-٩۰-۹०-९\U0001d400-\U0001d7ff]")
 _FOREIGN = re.compile("[" + INVISIBLE + "".join(LOOKALIKES) + "！-～٠-٩۰-۹०-९\U0001d400-\U0001d7ff]")
 _AT = r"(?:[(\[{<]\s*(?:at|@)\s*[)\]}>])"
@@ -147,7 +148,8 @@ def _spelt(t: Traced) -> None:
     edits = []
     for m in _SPELT.finditer(t.text):
         words = re.findall(rf"(?i)\b{_DIGIT_WORD}\b", m[0])
-        if len(words) < 4:
+        digits = "".join(SPELLED.get(x.lower(), x) for x in re.findall(rf"(?i)\b{_DIGIT_WORD}\b|[0-9]", m[0]))
+        if not words or len(words) < 4 and not (re.match(r"(?i)\+|plus", m[0]) and 9 <= len(digits) <= 15) and not is_card(digits):
             continue
         dotted = bool(re.search(r"(?i)\b(?:dot|point)\b|[a-z]\s*\.", m[0]))
         for x in _SPELT_PART.finditer(m[0]):
@@ -173,11 +175,11 @@ def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
             for x in re.finditer(r"[0-9]{12,19}(?![0-9])|[0-9]{4}(?:[\x20-][0-9]{4}){3}(?![0-9])", m[0]):
                 if is_card(_NOT_DIGIT.sub("", x[0])):
                     found.append((m.start() + x.start(), m.start() + x.end(), "card"))
-    strange, hinted, spelt, mixed = (p.search(text) for p in (_STRANGE, _AT_HINT, _SPELT_HINT, _MIXED))
-    if strange or hinted or spelt or mixed:
+    strange, parted, hinted, spelt, mixed = (p.search(text) for p in (_STRANGE, _PARTED, _AT_HINT, _SPELT_HINT, _MIXED))
+    if strange or parted or hinted or spelt or mixed:
         t = Traced(text)
         t.phones = []
-        if strange:
+        if strange or parted:
             t.replace([(m.start(), m.end(), _plain(m[0])) for m in _FOREIGN.finditer(text)])
         if strange or mixed:
             t.replace([(m.start(), m.end(), m[0][0] + "".join(DIGIT_LIKE[c] for c in m[0][1:])) for m in _MIXED.finditer(t.text)])

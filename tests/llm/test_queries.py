@@ -266,6 +266,22 @@ DISGUISED = {
 }
 
 
+PARTED = {
+    "call +1 415\u2011555\u20112671 now": ["+1 415\u2011555\u20112671"],
+    "card 4012\u00a08888\u00a08888\u00a01881 x": ["4012\u00a08888\u00a08888\u00a01881"],
+    "call +1 415 five five five 2671 now": ["+1 415 five five five 2671"],
+    "card 4012 8888 8888 188 one": ["4012 8888 8888 188 one"],
+    "the years 1990\u20131995, one by one": [],
+    "one 415 two 2671": [],
+}
+
+
+@pytest.mark.parametrize("text", PARTED)
+def test_parted_and_partly_spelt_numbers(text):
+    spans = [s.split(":") for s in filter(None, pii.find(text)[5].split(","))]
+    assert [text[int(a) : int(b)] for _, a, b in spans] == PARTED[text]
+
+
 @pytest.mark.parametrize("text", DISGUISED)
 def test_disguises(text):
     spans = [s.split(":") for s in filter(None, pii.find(text)[5].split(","))]
