@@ -12,6 +12,8 @@ GOLDEN = 2654435769
 SPAN = 1 << 32
 SLOTS = 1 << 16
 BUCKET_ROWS = 4096
+#: A source of fewer blocks is taken by words instead of by slots, which are too coarse for it.
+FEW_BLOCKS = 512
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
@@ -77,7 +79,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
     """The documents with their places, and the mix itself: ``slot, sid, bucket, n, begin_word, end_word``.
 
     The block is as many words as make about ``slots`` slots (at least 512 for each source), so the taken words of a
-    source differ from its target by a few blocks at most.
+    source differ from its target by a few blocks at most. A source of fewer than ``FEW_BLOCKS`` blocks is taken by
+    words instead and meets its target exactly.
     """
     sized = reliable(docs.select(F.col(id_col).alias("doc_id"), "source", word_count(F.col("text")).alias("size"), F.md5(F.concat_ws("|", F.lit("mix"), F.col(id_col).cast("string"), F.col("text"))).alias("h")))
     sources = reliable(targets(sized, weights, max_repeats))
@@ -86,12 +89,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int
     n_slots = -(-total // block)
     placed = shuffled(sized, sources, n_sources)
     plan = schedule(sources, block, n_slots, max_repeats)
-    pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"first div {block}"), F.expr(f"(first + size - 1) div {block}"))))
+    few = F.col("source_size") < (FEW_BLOCKS * block if block > 1 else 0)
+    pieces = placed.where((F.col("size") > 0) & ~few).withColumn("block", F.explode(F.sequence(F.expr(f"first div {block}"), F.expr(f"(first + size - 1) div {block}"))))
     taken = pieces.join(small(plan.select("slot", F.col("sid").alias("p_sid"), F.col("block").alias("p_block"), "epoch"), n_slots), (F.col("sid") == F.col("p_sid")) & (F.col("block") == F.col("p_block")), "left")
     taken = taken.withColumn("begin_word", F.greatest(F.col("first"), F.col("block") * block) - F.col("first")).withColumn("end_word", F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * block) - F.col("first"))
+    if block > 1:
+        taken = taken.unionByName(exactly(placed.where((F.col("size") > 0) & few), n_slots, max_repeats), allowMissingColumns=True)
     return placed, taken
 
 
+def exactly(placed: DataFrame, n_slots: int, max_repeats: int) -> DataFrame:
+    """The pieces of small sources: whole epochs in their shuffled order up to the target, spread over all slots."""
+    each = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1)))).withColumn("before", F.col("epoch") * F.col("source_size") + F.col("first"))
+    words = F.greatest(F.lit(0), F.least(F.col("size"), F.round("target").cast("long") - F.col("before"))).cast("long")
+    each = each.withColumn("begin_word", F.lit(0).cast("long")).withColumn("end_word", words)
+    slot = F.least(F.lit(n_slots - 1), F.floor(F.col("before") / F.col("target") * F.lit(n_slots))).cast("long")
+    return each.withColumn("slot", F.when(words > 0, slot)).drop("before")
+
+
 def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, slots: int = SLOTS, id_col: str = "doc_id") -> DataFrame:
     """``doc_id, source, size, source_size, target, taken`` of each document.
 

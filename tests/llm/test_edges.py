@@ -124,3 +124,10 @@ def test_urls_empty_and_clashing(spark):
     made = urls.judge_urls(wide.withColumn("host", F.lit(1)).withColumn("name", F.lit(2)).withColumn("score", F.lit(3))).collect()
     assert sorted(str(r.page_id) for r in made) == ["1", "1", "None"]
     assert [r.verdict for r in made if r.page_id is None] == ["block"]
+
+
+def test_small_sources_meet_their_targets(spark):
+    rows = [(i, " ".join(["w"] * 1000), "big") for i in range(400)] + [(1000 + i, "a b c d e", "small") for i in range(1)]
+    made = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mixture(made, weights=(1, 1), slots=2048).where("source = 'small'").collect()
+    assert sum(r.taken for r in got) == round(got[0].target) == 15
