@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -21,10 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> None:
-    """Makes sure that checkpoints have a folder: the cluster's, or a temporary one where none is set (tests)."""
+    """Makes sure that checkpoints have a folder that all machines share; on one machine any folder is shared.
+
+    Without ``spark.checkpoint.dir`` a cluster has no such folder, and its name can't be guessed, so that is an error.
+    """
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="nearfield-"))
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(where or "spark-warehouse/checkpoints")
 
 
 def reliable(df: DataFrame) -> DataFrame:
@@ -33,6 +39,24 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame, rows_per_task: int = 100_000) -> tuple[DataFrame, int]:
+    """``reliable(df)`` in no more tasks than its rows are worth, and the number of rows."""
+    made = reliable(df)
+    rows = made.count()
+    return made.coalesce(max(1, -(-rows // rows_per_task))), rows
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the checkpoint of a table that nothing reads any more."""
+    plan = df._jdf.queryExecution().logical()
+    while plan.children().size():
+        plan = plan.children().head()
+    where = plan.rdd().getCheckpointFile()
+    if where.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(where.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df`` (of ``rows`` counted rows) marked for broadcast if it is small enough, else left to a shuffle."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

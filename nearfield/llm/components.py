@@ -4,28 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import reliable
+from .common import forget, reliable, settled, small
+
+#: In a bucket of up to so many rows, every pair that may still tell something new is joined; larger ones go by blocks.
+FEW = 16
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of the links ``a, b`` (longs); root is the least node of its component.
 
     Large-star and small-star steps by turns (Kiveris et al., 2014): each is an aggregate and a join, and the number
-    of rounds grows with the logarithm of the nodes. Stops when a round changes nothing.
+    of rounds grows with the logarithm of the nodes. Stops when a round changes nothing; a round's table goes once the
+    next one is stored.
     """
-    edges = reliable(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges, rows = settled(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(edges)
-    while mark[0]:
+    while rows:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = both.join(small(least, 2 * rows), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = reliable(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        before, mark = mark, _mark(edges)
+        moved = large.join(small(least, rows), "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        made, rows = settled(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        before, mark = mark, _mark(made)
+        forget(edges)
+        edges = made
         if mark == before:
             break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -35,54 +41,57 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def shared_buckets(members: DataFrame) -> DataFrame:
+    """The distinct ``bucket, node`` of the buckets that have two nodes or more.
 
+    Almost all buckets have one, and the first aggregate, which is combined before its shuffle, finds the others; a
+    bucket that very many rows share is one row of each task there.
+    """
+    several = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("bucket")
+    several, n = settled(several)
+    return reliable(members.join(small(several, n), "bucket").select("bucket", "node").distinct())
 
-def link_groups(buckets: DataFrame, may: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame] | None = None, few: int = 8) -> DataFrame:
-    """Components of the links among rows that share a bucket: ``node, root`` of every node that has a link.
 
-    ``buckets``: ``bucket, node, mark``. ``may(mark, mark)`` is an exact bound that a link must meet; ``verify`` keeps
-    the linked ones of the pairs ``a, b``.
+def link_groups(shared: DataFrame, info: DataFrame, may: Callable[[Column, Column], Column], verify: Callable[[DataFrame, int], DataFrame], compare: Callable[[DataFrame, DataFrame], DataFrame], few: int = FEW) -> DataFrame:
+    """Components of the links among nodes that share a bucket: ``node, root`` of every node that has a link.
 
-    Links within one component tell nothing new. So at first each member is compared with the first of its bucket and
-    with the one before it, in the order of the marks. Then, in buckets whose members fell into several components,
-    every pair across two components is compared. The result equals that of comparing all pairs.
+    ``shared``: ``bucket, node``; ``info``: ``node, weight, mark`` of these nodes. ``may(mark, mark)`` is an exact
+    bound that a link must meet; ``verify`` keeps the linked ones of the counted pairs ``a, b``.
 
-    With ``compare``, only buckets of up to ``few`` rows are cut into pairs, a bounded number for each row. Larger ones
-    that have rows in common are put together, and ``compare`` gets these groups (``node, root``) to link within.
+    Links within one component tell nothing new. So at first each node is compared with the hub of each of its
+    buckets, the node of greatest weight (copies vary about what stands most often). Then, in buckets whose nodes fell
+    into several components, every pair across two components is compared: joined in buckets of up to ``few``
+    nodes, a bounded number for each row, while ``compare`` gets the larger ones as ``bucket, node, part, main, mark``
+    (``main``: the hub's component), and the pairs that are known, and returns links ``a, b``.
     """
-    order = Window.partitionBy("bucket").orderBy("mark", "node")
-    seen = buckets.select(
-        "bucket", "node", "mark",
-        F.first("node").over(order).alias("top"), F.first("mark").over(order).alias("top_mark"),
-        F.lag("node").over(order).alias("last"), F.lag("mark").over(order).alias("last_mark"),
-        F.lead("node").over(order).alias("next"),
-    )
-    shared = reliable(seen.where("last IS NOT NULL OR next IS NOT NULL").drop("next"))
-    tops = shared.where((F.col("node") != F.col("top")) & may(F.col("mark"), F.col("top_mark"))).select(F.col("node").alias("a"), F.col("top").alias("b"))
-    lasts = shared.where((F.col("node") != F.col("last")) & may(F.col("mark"), F.col("last_mark"))).select(F.col("node").alias("a"), F.col("last").alias("b"))
-    first = reliable(_ordered(tops.unionByName(lasts)))
-    joined = components(verify(first))
-    labelled = shared.select("bucket", "node", "mark").join(joined, "node", "left").select("bucket", "node", "mark", F.coalesce("root", "node").alias("part"))
-    # Of up to three rows every pair has been compared above.
-    open_ = labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("rows")).where("low != high AND rows > 3").select("bucket")
-    labelled = reliable(labelled.join(open_, "bucket"))
+    info, n_info = settled(info)
+    rows, n_rows = settled(shared.join(small(info, n_info), "node"))
+    tops = rows.groupBy("bucket").agg(F.max(F.struct("weight", "node", "mark")).alias("top"), F.count(F.lit(1)).alias("size"))
+    tops, n_tops = settled(tops)
+    star = rows.join(small(tops, n_tops), "bucket").where((F.col("node") != F.col("top.node")) & may(F.col("mark"), F.col("top.mark")))
+    star, n_star = settled(star.select(F.col("node").alias("a"), F.col("top.node").alias("b")).distinct())
+    joined, n_joined = settled(components(verify(star, n_star)))
+    parts = rows.join(small(joined, n_joined), "node", "left").select("bucket", "node", "mark", F.coalesce("root", "node").alias("part"))
+    # Of two rows the one pair has been compared above.
+    open_ = parts.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("size")).where("low != high AND size > 2").select("bucket", "size")
+    open_, n_open = settled(open_)
+    if not n_open:
+        return joined
+    left, n_left = settled(parts.join(small(open_, n_open), "bucket"))
     found = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    some = left.where(F.col("size") <= few)
+    pairs = some.select("bucket", F.col("node").alias("a"), F.col("part").alias("p"), F.col("mark").alias("am")).join(some.select("bucket", F.col("node").alias("b"), F.col("part").alias("q"), F.col("mark").alias("bm")), "bucket")
+    known = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    pairs = pairs.where((F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & may(F.col("am"), F.col("bm"))).select("a", "b").distinct()
+    later, n_later = settled(pairs.join(known, ["a", "b"], "left_anti"))
     more = False
-    if compare is not None:
-        sizes = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
-        large = reliable(labelled.join(sizes.where(F.col("rows") > few), "bucket").select("node", "bucket"))
-        labelled = labelled.join(sizes.where(F.col("rows") <= few), "bucket").drop("rows")
-        if not large.isEmpty():
-            together = components(large.select(F.col("node").alias("a"), F.col("bucket").alias("b"))).join(large.select("node").distinct(), "node")
-            found, more = found.unionByName(compare(together).select("a", "b")), True
-    parts = labelled.select("bucket", "part").distinct()
-    across = parts.select("bucket", F.col("part").alias("p")).join(parts.select("bucket", F.col("part").alias("q")), "bucket").where("p < q")
-    left = labelled.select("bucket", F.col("part").alias("p"), F.col("node").alias("a"), F.col("mark").alias("am"))
-    right = labelled.select("bucket", F.col("part").alias("q"), F.col("node").alias("b"), F.col("mark").alias("bm"))
-    met = across.join(left, ["bucket", "p"]).join(right, ["bucket", "q"]).where(may(F.col("am"), F.col("bm")))
-    later = reliable(_ordered(met.select("a", "b")).join(first, ["a", "b"], "left_anti"))
-    if not later.isEmpty():
-        found, more = found.unionByName(verify(later).select("a", "b")), True
-    return components(found) if more else joined
+    if n_later:
+        found, more = found.unionByName(verify(later, n_later).select("a", "b")), True
+    many = left.where(F.col("size") > few)
+    if not many.isEmpty():
+        main = tops.select("bucket", F.col("top.node").alias("node")).join(small(joined, n_joined), "node", "left").select("bucket", F.coalesce("root", "node").alias("main"))
+        found, more = found.unionByName(compare(many.join(small(main, n_tops), "bucket").select("bucket", "node", "part", "main", "mark"), known).select("a", "b")), True
+    made = settled(components(found))[0] if more else joined
+    for done in (rows, left, star):
+        forget(done)
+    return made
