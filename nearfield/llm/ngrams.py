@@ -12,14 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, reliable, small
-from .components import link_groups
+from .common import forget, map_texts, reliable, settled, small
+from .components import components, link_groups, shared_buckets
 
 WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.999
 MOST_HASHES = 144
-BLOCK = 128
+#: Bounds of a block of n-gram sets; a task compares two blocks.
+BLOCK, BLOCK_GRAMS = 512, 1 << 20
+PAIRS_PER_TASK = 1000
 
 SIGNATURE = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
@@ -96,7 +98,8 @@ def _signer(words: int, bands: int, rows: int) -> Callable[[], Callable[[str], t
 
 
 class Join:
-    """The parts of one run: ``signed`` has a row for each document, ``classes`` one for each distinct n-gram set."""
+    """The parts of one run: ``signed`` has a row for each document, ``classes`` one for each distinct n-gram set,
+    ``sets`` the n-grams of the classes that share a bucket with another, ``groups`` their components."""
 
     def __init__(self, docs: DataFrame, words: int, similarity: float, recall: float) -> None:
         self.docs, self.words, self.similarity = docs, words, similarity
@@ -105,17 +108,19 @@ class Join:
         self.signed = reliable(map_texts(marked, _signer(words, bands, rows), SIGNATURE))
         first = F.min(F.struct("doc_id", "text_hash")).alias("first")
         self.classes = reliable(self.signed.where("n > 0").groupBy("k1", "k2", "n", "bands").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_id"), first))
-        self._sets: DataFrame | None = None
-        buckets = self.classes.select(F.explode("bands").alias("bucket"), F.col("k1").alias("node"), F.col("n").alias("mark"))
-        self.groups = reliable(link_groups(buckets, self._may, self._verify, self._compare))
+        shared = shared_buckets(self.classes.select(F.explode("bands").alias("bucket"), F.col("k1").alias("node")))
+        self.sets = reliable(self._sets(*settled(shared.select("node").distinct())))
+        info = self.sets.select("node", F.col("copies").alias("weight"), F.col("n").alias("mark"))
+        self.groups, self.n_groups = settled(link_groups(shared, info, self._may, self._verify, self._compare))
+        forget(shared)
 
     def _may(self, a: Column, b: Column) -> Column:
         return F.least(a, b) >= F.lit(self.similarity - 1e-9) * F.greatest(a, b)
 
-    def sets(self, nodes: DataFrame) -> DataFrame:
+    def _sets(self, nodes: DataFrame, n_nodes: int) -> DataFrame:
         """``node, n, copies, grams`` of the classes in ``nodes``; their first documents are read and cut anew."""
-        wanted = reliable(self.classes.select(F.col("k1").alias("node"), "n", "copies", "first").join(nodes, "node").select("node", "n", "copies", F.col("first.doc_id").alias("i"), F.col("first.text_hash").alias("h")))
-        placed = self.docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(small(wanted, wanted.count()), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")))
+        wanted, n = settled(self.classes.select(F.col("k1").alias("node"), "n", "copies", "first").join(small(nodes, n_nodes), "node").select("node", "n", "copies", F.col("first.doc_id").alias("i"), F.col("first.text_hash").alias("h")))
+        placed = self.docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(small(wanted, n), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h")))
         words = self.words
 
         def start() -> Callable[[str], tuple]:
@@ -125,23 +130,23 @@ class Join:
         made = map_texts(placed.select("node", "n", "copies", "text"), start, T.StructType([T.StructField("grams", T.ArrayType(T.LongType()))]))
         return made.dropDuplicates(["node"])
 
-    def _verify(self, pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = reliable(self.sets(nodes).select("node", "grams"))
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+    def _verify(self, pairs: DataFrame, n_pairs: int) -> DataFrame:
+        tasks = max(1, -(-n_pairs // PAIRS_PER_TASK))
+        both = pairs.join(self.sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b").repartition(tasks, "a")
+        both = both.join(self.sets.select(F.col("node").alias("a"), F.col("grams").alias("x")).repartition(tasks, "a"), "a")
         common = F.size(F.array_intersect("x", "y"))
         return both.where(common >= F.lit(self.similarity - 1e-9) * (F.size("x") + F.size("y") - common)).select("a", "b")
 
     def _tasks(self, groups: DataFrame) -> DataFrame:
         """Every pair of blocks of each group's members as one bounded run of rows, sorted together.
 
-        A group's members are dealt into blocks of about ``BLOCK``; a row goes to its block's task with each block.
+        A group's members are dealt into blocks of about ``BLOCK`` rows and ``BLOCK_GRAMS`` n-grams; a row goes to its
+        block's task with each block.
         """
-        sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-        dealt = groups.join(sizes, "root").withColumn("blocks", F.expr(f"(members + {BLOCK - 1}) div {BLOCK}"))
-        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
-        dealt = self.sets(groups.select("node")).join(dealt, "node")
-        tasks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        members = groups.join(self.sets.select("node", "n", "copies"), "node")
+        sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_GRAMS)).cast("long").alias("blocks"))
+        dealt, n = settled(members.join(sizes, "root").select("node", "root", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("own")))
+        tasks = self.sets.select("node", "copies", "grams").join(small(dealt, n), "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         tasks = tasks.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "root", "own", "other", "node", "copies", "grams")
         return tasks.repartition("task").sortWithinPartitions("task", "root")
 
@@ -153,9 +158,12 @@ class Join:
         counted = self._tasks(self.groups).mapInArrow(_kernel(self.similarity, _count), "node bigint, value bigint")
         return counted.groupBy("node").agg(F.sum("value").alias("linked"))
 
-    def _compare(self, groups: DataFrame) -> DataFrame:
-        """Links that join what is linked within the groups: each task gives a tree over its linked rows, not all pairs."""
-        return self._tasks(groups).mapInArrow(_kernel(self.similarity, _join), "node bigint, value bigint").select(F.col("node").alias("a"), F.col("value").alias("b"))
+    def _compare(self, large: DataFrame, known: DataFrame) -> DataFrame:
+        """Links that join what is linked within large buckets that have rows in common: each task gives a tree over its
+        linked rows, not all pairs."""
+        met, n = settled(large.select("node", "bucket").distinct())
+        together = components(met.select(F.col("node").alias("a"), F.col("bucket").alias("b"))).join(small(met.select("node").distinct(), n), "node")
+        return self._tasks(together).mapInArrow(_kernel(self.similarity, _join), "node bigint, value bigint").select(F.col("node").alias("a"), F.col("value").alias("b"))
 
 
 def _count(near: np.ndarray, rows: list[tuple]) -> list[tuple[int, int]]:
@@ -241,7 +249,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     """
     j = Join(docs.select("doc_id", "text"), words, similarity, recall)
     classes = j.classes.select("k1", "k2", "copies", "least_id")
-    joined = classes.join(j.groups, F.col("k1") == F.col("node"), "left").join(j.links().withColumnRenamed("node", "l_node"), F.col("k1") == F.col("l_node"), "left")
+    linked = j.links().withColumnRenamed("node", "l_node")
+    joined = classes.join(small(j.groups, j.n_groups), F.col("k1") == F.col("node"), "left").join(small(linked, j.n_groups), F.col("k1") == F.col("l_node"), "left")
     least = joined.where("root IS NOT NULL").groupBy("root").agg(F.min("least_id").alias("root_id"))
     made = joined.join(least, "root", "left").select("k1", "k2", "copies", F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("root_id")).alias("class_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     full = j.signed.where("n > 0").select("doc_id", "k1", "k2").join(made, ["k1", "k2"]).select("doc_id", "class_id", "copies", "n_links")
@@ -255,7 +264,7 @@ def keep(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, re
     Texts without words have no links and stay; of rows equal in doc_id and text one stays.
     """
     j = Join(docs.select("doc_id", "text"), words, similarity, recall)
-    joined = j.classes.join(j.groups, F.col("k1") == F.col("node"), "left").select("k1", "k2", "copies", "first", "root")
+    joined = j.classes.join(small(j.groups, j.n_groups), F.col("k1") == F.col("node"), "left").select("k1", "k2", "copies", "first", "root")
     firsts = joined.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("win"))
     winners = joined.join(firsts, "root", "left").where("copies > 1 OR root IS NOT NULL").select("k1", "k2", F.coalesce("win", "first").alias("win"))
     lost = j.signed.where("n > 0").join(winners, ["k1", "k2"]).where(~F.struct("doc_id", "text_hash").eqNullSafe(F.col("win")))
