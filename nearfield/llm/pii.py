@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,13 +15,13 @@ from pyspark.sql import types as T
 from .common import map_texts
 
 KINDS = ("email", "ip", "card", "phone")
-FOUND = T.StructType([T.StructField(f"n_{k}", T.LongType()) for k in KINDS] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
+FOUND = T.StructType([T.StructField(f"n_{k}", T.LongType()) for k in KINDS] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_spans", T.LongType())])
 
 Span = tuple[int, int, str]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")  # no later start in a run of digits does better
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -89,15 +90,19 @@ _STRANGE = re.compile("[" + INVISIBLE + "".join(c for c in LOOKALIKES if c.isalp
 _FOREIGN = re.compile("[" + INVISIBLE + "".join(LOOKALIKES) + "！-～٠-٩۰-۹०-९\U0001d400-\U0001d7ff]")
 _AT = r"(?:[(\[{<]\s*(?:at|@)\s*[)\]}>])"
 _DOT = r"(?:[(\[{<]\s*(?:dot|\.)\s*[)\]}>])"
-_MARKED = re.compile(rf"(?i)\s*{_AT}\s*|\s*{_DOT}\s*")
-_NAME = r"[A-Za-z0-9_%+-]+"
-_DOTS = r"(?:\s+dot\s+|\.)"
-#: Bare words count only in the whole shape: name at name dot name. A spaced sign needs a dot that is spaced alike or not at all.
-_SAID = re.compile(rf"(?i)\b{_NAME}(?:{_DOTS}{_NAME})*(?:\s+at\s+[A-Za-z0-9-]+(?:{_DOTS}[A-Za-z0-9-]+)*\s+dot\s+[A-Za-z]{{2,24}}\b|\s*@\s*[A-Za-z0-9-]+(?:(?:\s+dot\s+|\s+\.\s+|\.)[A-Za-z0-9-]+)+)")
-_SAID_AT = re.compile(r"(?i)\s+at\s+|\s*@\s*")
-_SAID_DOT = re.compile(r"(?i)\s+dot\s+|\s+\.\s+")
+_MARKED = re.compile(rf"(?i){_AT}|{_DOT}")
+#: A name's characters, and what may follow a sign. Bare words count only in the whole shape: name at name dot name. A
+#: spaced sign needs a dot that is spaced alike or not at all. The search starts at the sign and looks outward, so that a
+#: long run of names is read once and not from each of its places.
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-")
+_SIGN = re.compile(r"(?i)(?<=\s)at(?=\s)|@")
+_HOST = r"[A-Za-z0-9-]++"
+_AFTER_AT = re.compile(rf"(?i)\s++{_HOST}(?:(?:\s++dot\s++|\.){_HOST})*?\s++dot\s++[A-Za-z]{{2,24}}\b(?:(?:\s++dot\s++|\.)[A-Za-z]{{2,24}}\b)*")
+_AFTER_SIGN = re.compile(rf"(?i)\s*+{_HOST}(?:(?:\s++dot\s++|\s++\.\s++|\.){_HOST})+")
+_SAID_AT = re.compile(r"(?i)(?<!\s)\s++at\s++|(?<!\s)\s*+@\s*+")
+_SAID_DOT = re.compile(r"(?i)(?<!\s)\s++dot\s++|(?<!\s)\s++\.\s++")
 _DIGIT_WORD = "(?:" + "|".join(SPELLED) + ")"
-_SPELT = re.compile(rf"(?i)(?:\bplus\b[\s,-]*|\+\s*)?(?:\b{_DIGIT_WORD}\b|[0-9]+)(?:(?:[\s,-]+(?:dot|point)[\s,-]+|\s*\.\s*|[\s,-]+)(?:{_DIGIT_WORD}\b|[0-9]+))+")
+_SPELT = re.compile(rf"(?i)(?:\bplus\b[\s,-]*|\+\s*)?(?:\b{_DIGIT_WORD}\b|(?<![0-9])[0-9]++)(?:(?:[\s,-]+(?:dot|point)[\s,-]+|\s*\.\s*|[\s,-]+)(?:{_DIGIT_WORD}\b|[0-9]+))+")
 _SPELT_HINT = re.compile(rf"(?i)\b{_DIGIT_WORD}[\s,.-]+(?:(?:dot|point)[\s,-]+)?(?:{_DIGIT_WORD}\b|[0-9])|[0-9][\s,.-]+{_DIGIT_WORD}\b")
 _SPELT_PART = re.compile(rf"(?i)\b{_DIGIT_WORD}\b|\bplus\b\s*|\b(?:dot|point)\b|[\s,-]+")
 _MIXED = re.compile(r"[0-9][OoIl|]+(?=[0-9])")
@@ -136,11 +141,56 @@ def _plain(c: str) -> str:
     return n if len(n) == 1 and n.isascii() else LOOKALIKES.get(n, c)
 
 
+def _marked(t: Traced) -> None:
+    edits, done = [], 0
+    for m in _MARKED.finditer(t.text):
+        begin, end = _spaces(t.text, m.start(), -1, done), _spaces(t.text, m.end(), 1, len(t.text))
+        edits.append((begin, end, "@" if re.search("(?i)at|@", m[0]) else "."))
+        done = end
+    t.replace(edits)
+
+
+def _spaces(text: str, at: int, step: int, stop: int) -> int:
+    """Where a run of white space ends that begins at ``at`` and goes forward or back, up to ``stop``."""
+    while at != stop and text[at if step > 0 else at - 1].isspace():
+        at += step
+    return at
+
+
+def _name_before(text: str, end: int, done: int) -> int:
+    """Where the longest run of names, parted by dots or the word dot, begins that ends at ``end``; -1 without one."""
+    begin, at = -1, end
+    while True:
+        name = at
+        while name > done and text[name - 1] in _NAME:
+            name -= 1
+        if name == at:
+            break
+        begin = name
+        if name - 1 > done and text[name - 1] == ".":
+            at = name - 1
+            continue
+        word = _spaces(text, name, -1, done)
+        space = _spaces(text, word - 3, -1, done) if word - 3 > done and text[word - 3 : word].lower() == "dot" else word - 3
+        if word == name or space == word - 3:
+            break
+        at = space
+    while 0 <= begin < end and begin and (text[begin - 1].isalnum() or text[begin - 1] == "_") == (text[begin].isalnum() or text[begin] == "_"):
+        begin += 1  # a name begins at the border of a word
+    return begin if begin < end else -1
+
+
 def _said(t: Traced) -> None:
-    edits = []
-    for m in _SAID.finditer(t.text):
-        for kind, new in ((_SAID_AT, "@"), (_SAID_DOT, ".")):
-            edits += [(m.start() + x.start(), m.start() + x.end(), new) for x in kind.finditer(m[0]) if x[0] != new]
+    edits, done, text = [], 0, t.text
+    for m in _SIGN.finditer(text):
+        if m.start() < done:
+            continue
+        begin = _name_before(text, _spaces(text, m.start(), -1, done), done)
+        after = (_AFTER_SIGN if m[0] == "@" else _AFTER_AT).match(text, m.end()) if begin >= 0 else None
+        if after:
+            done = after.end()
+            for kind, new in ((_SAID_AT, "@"), (_SAID_DOT, ".")):
+                edits += [(begin + x.start(), begin + x.end(), new) for x in kind.finditer(text[begin:done]) if x[0] != new]
     t.replace(sorted(edits))
 
 
@@ -184,21 +234,44 @@ def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
         if strange or mixed:
             t.replace([(m.start(), m.end(), m[0][0] + "".join(DIGIT_LIKE[c] for c in m[0][1:])) for m in _MIXED.finditer(t.text)])
         if strange or hinted:
-            t.replace([(m.start(), m.end(), "@" if re.search("(?i)at|@", m[0]) else ".") for m in _MARKED.finditer(t.text)])
+            _marked(t)
             _said(t)
         if strange or spelt:
             _spelt(t)
         if t.text != text:
             found += [(t.begin[a], t.end[b - 1], k) for a, b, k in base_spans(t.text)]
-            cards = [(a, b) for a, b, k in found if k == "card"]
-            found += [(a, b, "phone") for a, b in t.phones if not any(a < y and x < b for x, y in cards)]
+            cards = _Taken((a, b) for a, b, k in found if k == "card")
+            found += [(a, b, "phone") for a, b in t.phones if not cards.meets(a, b)]
+    taken = {kind: _Taken((a, b) for a, b, k in plain if k == kind) for kind in KINDS}
     new: list[Span] = []
     for a, b, k in found:
-        if not any(k == k2 and a < b2 and a2 < b for a2, b2, k2 in [*plain, *new]):
+        if not taken[k].meets(a, b):
+            taken[k].add(a, b)
             new.append((a, b, k))
     return new
 
 
+class _Taken:
+    """Stretches in order; of those that overlap, only the first is kept."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]) -> None:
+        self.begins: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if not self.ends or a >= self.ends[-1]:
+                self.begins.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        at = bisect_left(self.begins, b)
+        return at > 0 and self.ends[at - 1] > a
+
+    def add(self, a: int, b: int) -> None:
+        at = bisect_left(self.begins, a)
+        self.begins.insert(at, a)
+        self.ends.insert(at, b)
+
+
 def _joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1])))
 
@@ -207,11 +280,11 @@ def find(text: str) -> tuple:
     plain = base_spans(text)
     every = plain + disguised_spans(text, plain)
     counts = [sum(1 for s in plain if s[2] == k) for k in KINDS]
-    return *counts, hashlib.sha256(_joined(plain).encode()).hexdigest(), _joined(every)
+    return *counts, hashlib.sha256(_joined(plain).encode()).hexdigest(), _joined(every), len(every)
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of each document.
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans`` of each document.
 
     Counts and digest are of the plain identifiers; ``spans`` lists these and the disguised ones as ``kind:start:end``
     in code points, by start and then kind. A null or empty text has none; repeated rows get equal results; texts are
