@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from .common import map_texts, reliable, small
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A DNS label has 63 characters at most; a longer name isn't segmented but one token.
-LABEL, WORD = 63, 24
+#: Words are looked up by so many first letters; longer ones are then compared whole.
+KEY = 24
 
 
 class UrlRule(NamedTuple):
@@ -75,21 +75,25 @@ def seed_model() -> NaiveBayes:
     return NaiveBayes(*[[tokens_of(x) for x in seeds] for seeds in (BLOCK_SEEDS, ALLOW_SEEDS)])
 
 
-def segment(name: str, count: Callable[[str], int], total: int) -> list[str]:
+def segment(name: str, count: Callable[[str], int], total: int, longest: int | None = None) -> list[str]:
     """The most likely words whose concatenation is ``name``, under unigram probabilities ``count / total``.
 
-    An unseen word has the probability ``1 / total / 10 ** length``, which favours few long unknown words. Of equally
-    likely splits the one with the longer last word wins.
+    An unseen word has the probability ``1 / total / 10 ** length``, which favours few long unknown words. ``longest``:
+    length of the longest word that may be counted. Of equally likely splits the one with the longer last word wins.
     """
     best: list[tuple[float, int]] = [(0.0, 0)]
+    ten, unseen = math.log(10), -math.log(total)
+    ahead, start = 0.0, 0  # of all places so far, the one from which an unseen word is likeliest
     for end in range(1, len(name) + 1):
-        options = []
-        for begin in range(max(0, end - WORD), end):
-            n = count(name[begin:end])
-            p = math.log(n / total) if n else -math.log(total) - (end - begin) * math.log(10)
-            options.append((best[begin][0] + p, -begin))
-        p, begin = max(options)
-        best.append((p, -begin))
+        p, begin = ahead + unseen - end * ten, start
+        for b in range(max(0, end - (longest or end)), end):
+            if n := count(name[b:end]):
+                q = best[b][0] + math.log(n / total)
+                if q > p or q == p and b < begin:
+                    p, begin = q, b
+        best.append((p, begin))
+        if p + end * ten > ahead:
+            ahead, start = p + end * ten, end
     words, end = [], len(name)
     while end:
         begin = best[end][1]
@@ -121,14 +125,14 @@ def unigrams(pages: DataFrame) -> DataFrame:
     title = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"<title>([^<]*)</title>", 1)) if "html" in pages.columns else F.lit("")
     parted = F.array_join(F.filter(F.split(host_of(F.col("url")), r"\."), lambda x: x.contains("-")), "-")
     words = pages.select(F.explode(F.split(F.concat_ws(" ", title, F.lower(path_of(F.col("url"))), parted), "[^a-z]+")).alias("word"))
-    return words.where(F.length("word").between(1, WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.where("word != ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def host_scores(hosts: DataFrame, words: DataFrame, model: NaiveBayes) -> DataFrame:
     """``host, host_score``: the names of each host (without the top-level label) are segmented and scored.
 
-    A name is scored once, however many hosts have it. Its substrings are joined with the word counts, so the words
-    never have to fit into one place.
+    A name is scored once, however many hosts have it. Its substrings of up to ``KEY`` letters are joined with the words
+    that begin so, and the words never have to fit into one place.
     """
     named = hosts.select("host", F.explode(F.slice(F.split("host", r"\."), 1, F.greatest(F.size(F.split("host", r"\.")) - 1, F.lit(1)))).alias("label"))
     named = reliable(named.select("host", F.explode(F.split("label", "[^a-z]+")).alias("name")).where("name != ''"))
@@ -136,15 +140,15 @@ def host_scores(hosts: DataFrame, words: DataFrame, model: NaiveBayes) -> DataFr
     words = reliable(words.unionByName(seeds).groupBy("word").agg(F.sum("n").alias("n")))
     total = words.agg(F.sum("n")).first()[0]
     names = named.select("name").distinct()
-    cut = names.where(F.length("name") <= LABEL).withColumn("b", F.explode(F.sequence(F.lit(1), F.length("name"))))
-    cut = cut.withColumn("word", F.explode(F.expr(f"transform(sequence(1, least({WORD}, length(name) - b + 1)), k -> substring(name, b, k))"))).select("name", "word").distinct()
-    met = cut.join(words, "word").groupBy("name").agg(F.collect_list(F.concat_ws(":", "word", F.col("n").cast("string"))).alias("met"))
+    cut = names.withColumn("b", F.explode(F.sequence(F.lit(1), F.length("name"))))
+    cut = cut.withColumn("key", F.explode(F.expr(f"transform(sequence(1, least({KEY}, length(name) - b + 1)), k -> substring(name, b, k))"))).select("name", "key").distinct()
+    met = cut.join(words.withColumn("key", F.left("word", F.lit(KEY))), "key").where((F.length("word") <= KEY) | F.contains("name", "word")).groupBy("name").agg(F.collect_list(F.concat_ws(":", "word", F.col("n").cast("string"))).alias("met"))
     odds = model.odds
 
     def start() -> Callable[..., tuple]:
         def scored(name: str, met: list[str] | None) -> tuple:
             counts = {w: int(n) for w, _, n in (x.partition(":") for x in met or ())}
-            found = segment(name, lambda w: counts.get(w, 0), total) if len(name) <= LABEL else [name]
+            found = segment(name, lambda w: counts.get(w, 0), total, max(map(len, counts), default=1))
             return " ".join(found), sum(odds.get(t, 0.0) for t in found)
 
         return scored
