@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -102,6 +103,8 @@ class Model(NamedTuple):
     temperature: float
     least: float
     templates: dict[str, list[set]]
+    owners: dict[tuple, list[str]]
+    words: dict[str, set]
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -170,7 +173,12 @@ def train(background: list[str], seed: int = 7, copies: int = 12, rounds: int =
     singles = {f: i for f, i in names.items() if isinstance(f, bytes)}
     doubles = {f: i for f, i in names.items() if not isinstance(f, bytes)}
     gain = np.maximum(0, (weights[:, 1:] - weights[:, :1]).max(axis=1))
-    return Model(classes, singles, doubles, weights, bias, gain, temperature, least, known)
+    owners: dict[tuple, list[str]] = {}
+    for family, texts in known.items():
+        for t in sorted(set().union(*texts)):
+            owners.setdefault(t, []).append(family)
+    vocabulary = {f: {w for t in texts for w in words_of(t)} for f, texts in TEMPLATES.items()}
+    return Model(classes, singles, doubles, weights, bias, gain, temperature, least, known, owners, vocabulary)
 
 
 def classify(model: Model, words: list[bytes]) -> tuple[str, float]:
@@ -194,18 +202,53 @@ def confirmed(model: Model, family: str, words: list[bytes], share: float = 0.6)
     return any(len(own & t) >= share * len(t) or (len(own) >= 8 and len(own & t) >= share * len(own)) for t in model.templates[family])
 
 
+def line_family(model: Model, words: list[bytes], before: str) -> str:
+    """Family of a line by itself; else that whose templates have most of its trigrams, a third of them at least.
+
+    So the lines of a wrapped paragraph, few of which say enough alone, get its family. A line of one or two words
+    goes on with the family of the line ``before`` if that has the words.
+    """
+    family = classify(model, words)[0]
+    if family != UNKNOWN:
+        return family
+    if len(words) < 3:
+        return before if before != UNKNOWN and all(w in model.words[before] for w in words) else UNKNOWN
+    shared = Counter(f for t in set(zip(words, words[1:], words[2:])) for f in model.owners.get(t, ()))
+    if not shared:
+        return UNKNOWN
+    best = max(shared.values())
+    if 3 * best < len(words) - 2:
+        return UNKNOWN
+    if shared[before] == best:
+        return before
+    return min(f for f, n in shared.items() if n == best)
+
+
 def scan(model: Model, text: str) -> tuple:
-    """Licences of a text: a paragraph is a line; neighbouring lines of one family are confirmed together."""
-    runs: list[tuple[str, int, int]] = []
-    at = 0
+    """Licences of a text. A paragraph is a run of neighbouring lines, marks of comments aside, that belong to one family.
+
+    A paragraph counts if the classifier gives it that family, or one of its lines, and a template confirms it. If not as a whole, lines
+    that the classifier knows are tried by themselves.
+    """
+    runs: list[tuple[str, list[tuple[int, int, list[bytes]]]]] = []
+    at, before = 0, UNKNOWN
     for line in text.split("\n"):
-        if (words := words_of(line)) and (family := classify(model, words)[0]) != UNKNOWN:
-            if runs and runs[-1][0] == family and runs[-1][2] == at - 1:
-                runs[-1] = (family, runs[-1][1], at + len(line))
-            else:
-                runs.append((family, at, at + len(line)))
+        family = line_family(model, words, before) if (words := words_of(line)) else UNKNOWN
+        if family != UNKNOWN:
+            if family != before:
+                runs.append((family, []))
+            runs[-1][1].append((at, at + len(line), words))
+        before = family
         at += len(line) + 1
-    found = [r for r in runs if confirmed(model, r[0], words_of(text[r[1] : r[2]]))]
+    found: list[tuple[str, int, int]] = []
+    for family, lines in runs:
+        words = [w for _, _, ws in lines for w in ws]
+        known = classify(model, words)[0]
+        known = family if known == UNKNOWN and any(classify(model, ws)[0] == family for _, _, ws in lines) else known
+        if known != UNKNOWN and confirmed(model, known, words):
+            found.append((known, lines[0][0], lines[-1][1]))
+        elif len(lines) > 1:
+            found += [(family, a, b) for a, b, ws in lines if classify(model, ws)[0] == family and confirmed(model, family, ws)]
     return len(found), ",".join(sorted({f for f, _, _ in found})), ",".join(f"{f}:{a}:{b}" for f, a, b in found)
 
 
@@ -218,8 +261,11 @@ def license_scan(docs: DataFrame, background: int = BACKGROUND, model: Model | N
     """
     need = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if model is None:
-        line = F.element_at(F.split("text", "\n"), 1)
-        drawn = need.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).select(F.xxhash64("text").alias("h"), line.alias("line")).orderBy("h", "line").limit(background)
+        # Those of least digest. A threshold on the digest leaves a few times as many to sort, however many rows there are.
+        share = min(1.0, (4 * background + 100) / max(1, need.count()))
+        line, h = F.element_at(F.split("text", "\n"), 1), F.xxhash64("text")
+        few = need.where(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30))).select(h.alias("h"), line.alias("line")).distinct()
+        drawn = few.orderBy("h", "line").limit(background)
         model = train([r.line or "" for r in drawn.collect()])
 
     def start() -> Callable[[str], tuple]:
