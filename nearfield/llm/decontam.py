@@ -116,7 +116,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, window: int, pass_bytes: int,
     the items are cut into so many hash classes and each class has its pass, which adds to the spans of those before.
     """
     found = docs.select("*", F.lit(None).cast("array<bigint>").alias("_nf_hits"), F.lit(None).cast("array<string>").alias("_nf_items"))
-    named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).distinct()
     passes = max(1, -(-int(named.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // pass_bytes))
     for k in range(passes):
         items = [(r.item_id, r.text) for r in named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).collect()]
@@ -148,7 +148,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
 
 
 def keep(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """The documents, with all their columns, that no benchmark item contaminates."""
+    """The documents, with all their columns, that no benchmark item contaminates.
+
+    Null and empty texts have no words and stay; null and empty items match nothing; repeated rows fare alike; empty
+    tables are fine; other columns may have any name that doesn't begin with ``_nf_``.
+    """
     return marked(docs, benchmark, window, pass_bytes, keep_text=True).where(f"NOT ({CONTAMINATED})").select(*docs.columns)
 
 

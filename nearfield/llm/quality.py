@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections import Counter
 from collections.abc import Callable, Iterable
+from functools import cached_property
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -20,20 +21,32 @@ BASE = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_c
 
 
 class Doc:
-    """A text with its base figures, as the rules see it."""
-
-    __slots__ = ("n_dup_lines", "n_lines", "n_repeat_words", "n_symbols", "raw", "text", "word_chars", "words")
+    """A text as the rules see it; each figure is computed when a rule first asks for it."""
 
     def __init__(self, text: str) -> None:
         self.text = text
         self.raw = text.encode()
         self.words = self.raw.split()  # of bytes: splits at \x20 and \x09-\x0D only
-        self.word_chars = len(text) - sum(map(text.count, " \t\n\x0b\x0c\r"))
-        self.n_symbols = sum(map(text.count, SYMBOLS))
-        lines = [x for x in self.raw.split(b"\n") if x and not x.isspace()]
-        self.n_lines = len(lines)
-        self.n_dup_lines = len(lines) - len(set(lines))
-        self.n_repeat_words = repeated(self.words)
+
+    @cached_property
+    def word_chars(self) -> int:
+        return len(self.text) - sum(map(self.text.count, " \t\n\x0b\x0c\r"))
+
+    @cached_property
+    def n_symbols(self) -> int:
+        return sum(map(self.text.count, SYMBOLS))
+
+    @cached_property
+    def lines(self) -> list[bytes]:
+        return [x for x in self.raw.split(b"\n") if x and not x.isspace()]
+
+    @cached_property
+    def n_dup_lines(self) -> int:
+        return len(self.lines) - len(set(self.lines))
+
+    @cached_property
+    def n_repeat_words(self) -> int:
+        return repeated(self.words)
 
 
 def repeated(words: list[bytes]) -> int:
@@ -58,13 +71,18 @@ def _letters(word: bytes) -> bool:
     return not word.isascii() or word.upper() != word.lower()
 
 
+#: The contract's own rules. A result with all figures has them at hand; a filter orders them among the others.
+BASE_RULES = (
+    Rule("few_words", lambda d: len(d.words) < 50),
+    Rule("repeats", lambda d: 100 * d.n_repeat_words > 50 * len(d.words)),
+)
 RULES = (
     Rule("symbols", lambda d: 10 * d.n_symbols > len(d.words)),
     Rule("word_length", lambda d: not 3 * len(d.words) <= d.word_chars <= 10 * len(d.words)),
-    Rule("duplicate_lines", lambda d: 2 * d.n_dup_lines > d.n_lines),
+    Rule("duplicate_lines", lambda d: 2 * d.n_dup_lines > len(d.lines)),
     Rule("capitals", lambda d: 10 * sum(map(d.raw.count, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")) > 3 * d.word_chars),
     Rule("shouting", lambda d: 2 * (d.raw.count(b"!") + d.raw.count(b"?")) > len(d.words)),
-    Rule("common_word", lambda d: 4 * max(Counter(d.words).values()) > len(d.words)),
+    Rule("common_word", lambda d: 4 * max(Counter(d.words).values(), default=0) > len(d.words)),
     Rule("lettered_words", lambda d: 10 * sum(map(_letters, d.words)) < 8 * len(d.words)),
 )
 
@@ -75,11 +93,19 @@ class Planned(NamedTuple):
     rejected: float
 
 
-def plan_cascade(texts: Iterable[str], rules: Iterable[Rule] = RULES) -> list[Planned]:
-    """The rules in the order of rejected share per second, as estimated on sample texts that pass the base rules."""
-    docs = [d for d in map(Doc, texts) if not base_failed(d)]
+def plan_cascade(texts: Iterable[str], rules: Iterable[Rule] = RULES, figures: bool = True) -> list[Planned]:
+    """The rules in the order of rejected share per second, as estimated on sample texts.
+
+    With ``figures`` the base figures are there already, and only texts that pass the base rules count; without, the
+    cost of a rule is that of its words' figures too, so each rule is timed on texts of which nothing is known but the words.
+    """
+    rules, texts = list(rules), list(texts)
+    if figures:
+        docs = [d for d in map(Doc, texts) if not base_failed(d) and d.word_chars + d.n_symbols + d.n_dup_lines + 1]
     plan = []
     for rule in rules:
+        if not figures:
+            docs = list(map(Doc, texts))
         began = time.perf_counter()
         rejected = sum(map(rule.rejects, docs))
         cost = (time.perf_counter() - began) / max(1, len(docs))
@@ -88,8 +114,7 @@ def plan_cascade(texts: Iterable[str], rules: Iterable[Rule] = RULES) -> list[Pl
 
 
 def base_failed(doc: Doc) -> bool:
-    n = len(doc.words)
-    return n < 50 or 100 * doc.n_repeat_words > 50 * n
+    return any(r.rejects(doc) for r in BASE_RULES)
 
 
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 400, order: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,7 +127,7 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
     other columns of the input play no part. Texts are judged whole, at any length.
     """
     need = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    cascade = _cascade(need, rules, sample_rows, order)
+    cascade = _cascade(need, rules, sample_rows, order, figures=True)
 
     def start() -> Callable[[str], tuple]:
         def judge(text: str) -> tuple:
@@ -116,22 +141,27 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
     return map_texts(need, start, BASE)
 
 
-def _cascade(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int, order: list[str] | None) -> list[Callable[[Doc], bool]]:
+def _cascade(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int, order: list[str] | None, figures: bool) -> list[Callable[[Doc], bool]]:
     if order is None:
         sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0).select("text").take(sample_rows)
-        order = [p.name for p in plan_cascade((r.text or "" for r in sample), rules)]
+        order = [p.name for p in plan_cascade((r.text or "" for r in sample), rules, figures)]
     named = {r.name: r for r in rules}
     return [named[n].rejects for n in order]
 
 
-def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 400, order: list[str] | None = None) -> DataFrame:
-    """The documents, with all their columns, that ``quality`` keeps."""
-    cascade = _cascade(docs, rules, sample_rows, order)
+def keep(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + RULES, sample_rows: int = 400, order: list[str] | None = None) -> DataFrame:
+    """The documents, with all their columns, that ``quality`` keeps.
+
+    The base rules take part in the cascade, and a figure is computed only if a rule that is reached needs it. A null
+    or empty text has no words and goes; repeated rows fare alike; an empty table gives no rows; texts are judged
+    whole; other columns are kept, whatever their names.
+    """
+    cascade = _cascade(docs, rules, sample_rows, order, figures=False)
 
     def start() -> Callable[[str], bool]:
         def judge(text: str) -> bool:
             d = Doc(text)
-            return not base_failed(d) and not any(rejects(d) for rejects in cascade)
+            return not any(rejects(d) for rejects in cascade)
 
         return judge
 
