@@ -222,3 +222,32 @@ def autotune(points: DataFrame, params: Params, k: int = 5, n_queries: int = 50)
     if best is None:
         return build_index(points, replace(params, algorithm="linear")), -1
     return build_index(points, best[1]), best[2]
+
+
+def checks_for(built: Index, queries: DataFrame, points: DataFrame, targets: list[float], k: int, most: int = 1 << 16) -> DataFrame:
+    """``target, checks, precision, n_distances``: for each target the fewest checks, by doubling and then halving the
+    gap, whose mean precision reaches it; the exact search (checks -1) where none up to ``most`` does."""
+    truth = knn_join(queries, points, k, built.params.metric, built.params.p).persist()
+    known: dict[int, tuple[float, float]] = {}
+
+    def measure(checks: int) -> tuple[float, float]:
+        if checks not in known:
+            hits = built.hits(queries, k, checks).persist()
+            precision = neighbor_precision(ranked(hits.select("qid", "id", "dist"), k), truth, k).agg(F.avg("precision")).first()[0]
+            known[checks] = precision or 0.0, hits.groupBy("qid").agg(F.sum("n_distances").alias("c")).agg(F.avg("c")).first()[0] or 0.0
+            hits.unpersist()
+        return known[checks]
+
+    rows = []
+    for target in targets:
+        high = 16
+        while high <= most and measure(high)[0] < target:
+            high *= 2
+        low = high // 2
+        while high <= most and high - low > max(8, high // 8):
+            middle = (low + high) // 2
+            low, high = (low, middle) if measure(middle)[0] >= target else (middle, high)
+        checks = high if high <= most else -1
+        rows.append((float(target), checks, *map(float, measure(checks))))
+    truth.unpersist()
+    return built.spark.createDataFrame(rows, "target double, checks int, precision double, n_distances double")

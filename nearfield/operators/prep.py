@@ -68,7 +68,7 @@ def resample(views: DataFrame, yaws: int, pitches: int, all_yaws: int = 48) -> D
 
 def sample_rows(df: DataFrame, n: int, seed: int = 0, column: str = "id") -> tuple[DataFrame, DataFrame]:
     """n rows without replacement, by id digest, and the rest."""
-    taken = df.orderBy(F.xxhash64(column, F.lit(seed)), column).limit(n)
+    taken = df.orderBy(F.md5(F.concat_ws(":", F.col(column).cast("string"), F.lit(str(seed)))), column).limit(n)
     return taken, df.join(taken.select(column), column, "left_anti")
 
 

@@ -1,7 +1,8 @@
 """Every query of the engine's own operators, with the SQL that gives the same rows where SQL can.
 
 The retrieval tables are derived from ``embeddings``: vector i is a view of panorama ``room_<label>_<i mod 5>`` with
-angles from i, the first three elements are its place, and the vectors 0 to 19 are the queries.
+angles from i, the first three elements are its place, and the vectors whose number 20 divides are the queries, which
+search all vectors.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ ORACLE: dict[str, str] = {}
 VIEWS = """
 v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label, 'room_' || label AS room, 'room_' || label || '_' || (vec_id % 5) AS pano,
              (vec_id % 48) * 7.5 AS yaw_deg, [-15, 0, 15][vec_id % 3 + 1] AS pitch_deg FROM embeddings),
-q AS (SELECT vec_id AS qid, e AS qe, room, pano FROM v WHERE vec_id < 20), d AS (SELECT vec_id AS id, e, label, room, pano, yaw_deg, pitch_deg FROM v WHERE vec_id >= 20)"""
+q AS (SELECT vec_id AS qid, e AS qe, room, pano FROM v WHERE vec_id % 20 = 0), d AS (SELECT vec_id AS id, e, label, room, pano, yaw_deg, pitch_deg FROM v)"""
 TERMS = {
     "l2": "(x[1] - x[2]) * (x[1] - x[2])",
     "l1": "abs(x[1] - x[2])",
@@ -55,11 +56,11 @@ def views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries_of(v: DataFrame) -> DataFrame:
-    return v.where("image_id < 20").select(F.col("image_id").alias("qid"), "vec", "room", "pano", "location")
+    return v.where("image_id % 20 = 0").select(F.col("image_id").alias("qid"), "vec", "room", "pano", "location")
 
 
 def points_of(v: DataFrame) -> DataFrame:
-    return v.where("image_id >= 20").select(F.col("image_id").alias("id"), "vec", "label")
+    return v.select(F.col("image_id").alias("id"), "vec", "label")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -117,22 +118,22 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(knn.knn_join(queries_of(v), points_of(v), 5, "hamming"))
 
 
-@query("radius_all", knn_sql(total("qe", "e"), k=1_000_000, where=f"{total('qe', 'e')} < 1.0"))
+@query("radius_all", knn_sql(total("qe", "e"), k=1_000_000, where=f"{total('qe', 'e')} < 1.5"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     v = views(spark, sf)
-    return rounded(knn.radius_join(queries_of(v), points_of(v), 1.0))
+    return rounded(knn.radius_join(queries_of(v), points_of(v), 1.5))
 
 
-@query("radius_topm", knn_sql(total("qe", "e"), k=3, where=f"{total('qe', 'e')} < 1.0"))
+@query("radius_topm", knn_sql(total("qe", "e"), k=3, where=f"{total('qe', 'e')} < 1.5"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     v = views(spark, sf)
-    return rounded(knn.radius_join(queries_of(v), points_of(v), 1.0, max_neighbors=3))
+    return rounded(knn.radius_join(queries_of(v), points_of(v), 1.5, max_neighbors=3))
 
 
-@query("radius_count", f"WITH {VIEWS} SELECT qid, count(*) FILTER (WHERE {total('qe', 'e')} < 1.0) AS n FROM q, d GROUP BY qid")
+@query("radius_count", f"WITH {VIEWS} SELECT qid, count(*) FILTER (WHERE {total('qe', 'e')} < 1.5) AS n FROM q, d GROUP BY qid")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     v = views(spark, sf)
-    return knn.radius_join(queries_of(v), points_of(v), 1.0, max_neighbors=0)
+    return knn.radius_join(queries_of(v), points_of(v), 1.5, max_neighbors=0)
 
 
 @query("knn_removed", knn_sql(total("qe", "e"), where="id % 7 <> 0"))
@@ -299,12 +300,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.dense_ids(views(spark, sf).select("image_id", "pano"), "pano", "pano_id")
 
 
-TRUTH = "qs AS (SELECT qid, room, qe FROM q), pt AS (SELECT pano, arg_min(room, vec_id) AS room, arg_min(e, vec_id) AS e FROM v WHERE vec_id >= 20 GROUP BY pano), gm AS (SELECT qid, pt.pano, sqrt(list_sum(list_transform(list_zip(qe[1:3], pt.e[1:3]), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS dist FROM qs JOIN pt ON qs.room = pt.room), gr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, pano) AS place FROM gm), gt AS (SELECT qid, pano, dist FROM gr WHERE dist < 0.15 OR place = 1)"
+TRUTH = "qs AS (SELECT qid, room, qe FROM q), pt AS (SELECT pano, arg_min(room, vec_id) AS room, arg_min(e, vec_id) AS e FROM v GROUP BY pano), gm AS (SELECT qid, pt.pano, sqrt(list_sum(list_transform(list_zip(qe[1:3], pt.e[1:3]), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS dist FROM qs JOIN pt ON qs.room = pt.room), gr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, pano) AS place FROM gm), gt AS (SELECT qid, pano, dist FROM gr WHERE dist < 0.15 OR place = 1)"
 
 
 def truth_of(v: DataFrame, ignore_rooms: bool = False) -> DataFrame:
     q = queries_of(v).withColumn("rooms", F.array("room"))
-    return hierarchy.ground_truth(q, hierarchy.pano_table(v.where("image_id >= 20")), 0.15, ignore_rooms)
+    return hierarchy.ground_truth(q, hierarchy.pano_table(v), 0.15, ignore_rooms)
 
 
 @query("ground_truth_fallback", f"WITH {VIEWS}, {TRUTH} SELECT qid, pano, round(dist, 6) AS dist FROM gt")
@@ -324,7 +325,7 @@ APSQL = "mt AS (SELECT pr.qid, pr.rank AS j, row_number() OVER (PARTITION BY pr.
 
 
 def ranked_panos(v: DataFrame) -> DataFrame:
-    data = v.where("image_id >= 20").select(F.col("image_id").alias("id"), "vec", "pano")
+    data = v.select(F.col("image_id").alias("id"), "vec", "pano")
     hits = knn.knn_join(queries_of(v), data, 1_000_000, "dot")
     return ranking.first_occurrence(hits.join(data.select("id", "pano"), "id"))
 
@@ -376,7 +377,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.neighbor_precision(*two_rankings(views(spark, sf)), 10)
 
 
-@query("knn_distance_precision", f"WITH {VIEWS}, {TWO} SELECT qid, count(*) FILTER (WHERE rf <= 10) / 10.0 AS precision FROM rr WHERE rt <= 10 GROUP BY qid")
+NUMBERED = "(SELECT qid, round(dist, 6) AS x, row_number() OVER (PARTITION BY qid, round(dist, 6)) AS o FROM rr WHERE {} <= 10)"
+
+
+@query("knn_distance_precision", f"WITH {VIEWS}, {TWO}, t AS {NUMBERED.format('rt')}, f AS {NUMBERED.format('rf')} SELECT t.qid, count(f.x) / 10.0 AS precision FROM t LEFT JOIN f ON t.qid = f.qid AND t.x = f.x AND t.o = f.o GROUP BY t.qid")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.distance_precision(*two_rankings(views(spark, sf)), 10)
 
@@ -390,13 +394,13 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tree_of(v: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    m = two_stages(v.where("image_id >= 20"))
+    m = two_stages(v)
     nodes = hierarchy.pool_stages(m, v).select(F.col("cluster").alias("node"), "level", (F.col("level") == 1).alias("is_leaf"), "vec")
     panos = hierarchy.pano_frequency(m, v).select(F.col("cluster").alias("node"), "pano", "pos")
     return nodes, hierarchy.links(m).select("parent", "child"), panos
 
 
-TREE = NODES.replace("FROM v UNION", "FROM v WHERE vec_id >= 20 UNION").replace("vec_id, e, pano FROM v)", "vec_id, e, pano FROM v WHERE vec_id >= 20)")
+TREE = NODES
 SCORED = f"sc AS (SELECT qid, level, cluster AS node, -({total('qe', 'w', 'dot')}) AS score FROM (SELECT qid, qe FROM q), nv)"
 
 
@@ -481,6 +485,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return lsh.bucket_histogram(lsh.buckets(points_of(bits(views(spark, sf))), PLACES))
 
 
+#: So few that every test table makes several shards, whose hits are merged.
+SHARD_ROWS = 150
 EXACT = {
     "kd_search_exact": Params("kdtree_single", leaf_size=10),
     "kd_forest_exact": Params("kdtree", trees=2),
@@ -494,14 +500,14 @@ for _name, _params in EXACT.items():
     @query(_name, knn_sql(total("qe", "e")))
     def _(spark: SparkSession, sf: str, params: Params = _params) -> DataFrame:
         v = views(spark, sf)
-        return rounded(index.build_index(points_of(v), params).search(queries_of(v), 5, checks=-1))
+        return rounded(index.build_index(points_of(v), params, SHARD_ROWS).search(queries_of(v), 5, checks=-1))
 
 
 @query("index_add_remove", knn_sql(total("qe", "e"), where="id % 9 <> 0"))
 def _(spark: SparkSession, sf: str) -> DataFrame:
     v = views(spark, sf)
     points = points_of(v)
-    built = index.build_index(points.where("id % 3 <> 0"), Params("kmeans", branching=8))
+    built = index.build_index(points.where("id % 3 <> 0"), Params("kmeans", branching=8), SHARD_ROWS)
     grown = built.add_points(points.where("id % 3 = 0")).remove_points(points.where("id % 9 = 0"))
     return rounded(grown.search(queries_of(v), 5, checks=-1))
 
@@ -512,25 +518,50 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return built.nodes.select("shard", "tree", "node", "parent", "depth", "is_leaf", "radius", "variance", F.size("members").alias("n_members"))
 
 
-@query("kd_forest_approximate")
+REACHED = f"WITH {VIEWS} SELECT count(*) AS n_queries, true AS reached FROM q"
+
+
+def reached(v: DataFrame, built: index.Index, checks: int, floor: float = 0.9) -> DataFrame:
+    """Whether the mean precision of a search with so many checks, measured against all points, reaches the floor."""
+    truth = knn.knn_join(queries_of(v), points_of(v), 5)
+    each = ranking.neighbor_precision(built.search(queries_of(v), 5, checks=checks), truth, 5)
+    return each.agg(F.count(F.lit(1)).alias("n_queries"), (F.avg("precision") >= floor).alias("reached"))
+
+
+APPROXIMATE = {
+    "kd_forest_approximate": (Params("kdtree"), 1024),
+    "kmeans_approximate": (Params("kmeans", branching=8), 512),
+    "hierarchical_approximate": (Params("hierarchical", branching=8, trees=4, leaf_size=20), 1024),
+}
+for _name, (_params, _checks) in APPROXIMATE.items():
+
+    @query(_name, REACHED)
+    def _(spark: SparkSession, sf: str, params: Params = _params, checks: int = _checks) -> DataFrame:
+        v = views(spark, sf)
+        return reached(v, index.build_index(points_of(v), params), checks)
+
+
+@query("autotuned_search", REACHED)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     v = views(spark, sf)
-    return rounded(index.build_index(points_of(v), Params("kdtree")).search(queries_of(v), 5, checks=128))
+    built, checks = index.autotune(points_of(v), Params("autotuned", sample_fraction=0.5, target_precision=0.97))
+    return reached(v, built, checks)
 
 
-@query("autotuned_search")
+@query("precision_sweep", "SELECT unnest([0.7, 0.8, 0.9]) AS target, true AS reached")
 def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The least checks (by doubling) that reach each target, and whether they do."""
     v = views(spark, sf)
-    built, checks = index.autotune(points_of(v), Params("autotuned", sample_fraction=0.5))
-    return rounded(built.search(queries_of(v), 5, checks=checks))
+    found = index.checks_for(index.build_index(points_of(v), Params("kmeans", branching=8)), queries_of(v), points_of(v), [0.7, 0.8, 0.9], 5)
+    return found.select("target", (F.col("precision") >= F.col("target")).alias("reached"))
 
 
-CENTERS = "c AS (SELECT id AS cid, e AS w FROM d WHERE id < 28)"
+CENTERS = "c AS (SELECT id AS cid, e AS w FROM d WHERE id < 8)"
 NEAREST = f"nn AS (SELECT id, d.e, cid, {total('d.e', 'c.w')} AS dist FROM d, c), best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, cid) AS r FROM nn)"
 
 
 def fixed_centers(v: DataFrame) -> DataFrame:
-    return points_of(v).where("id < 28").select(F.col("id").alias("cid"), "vec")
+    return points_of(v).where("id < 8").select(F.col("id").alias("cid"), "vec")
 
 
 @query("kmeans_assign", f"WITH {VIEWS}, {CENTERS}, {NEAREST} SELECT id, cid AS center, round(dist, 6) AS dist FROM best WHERE r = 1")
@@ -546,12 +577,12 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def books(v: DataFrame) -> DataFrame:
-    """Four slices of 16 elements; the codes are the slices of the points 20 to 35."""
-    few = points_of(v).where("id < 36")
-    return few.select(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("part"), (F.col("id") - 20).cast("int").alias("code"), "vec").select("part", "code", F.transform(F.slice("vec", F.col("part") * 16 + 1, 16), lambda x: x.cast("double")).alias("vec"))
+    """Four slices of 16 elements; the codes are the slices of the points 0 to 15."""
+    few = points_of(v).where("id < 16")
+    return few.select(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("part"), F.col("id").cast("int").alias("code"), "vec").select("part", "code", F.transform(F.slice("vec", F.col("part") * 16 + 1, 16), lambda x: x.cast("double")).alias("vec"))
 
 
-CODES = f"cb AS (SELECT p AS part, id - 20 AS code, e[p * 16 + 1 : p * 16 + 16] AS w FROM d, range(4) t(p) WHERE id < 36), cd AS (SELECT id, part, arg_min(code, dist * 1000000 + code * 1e-6) AS code FROM (SELECT id, part, code, {total('e[part * 16 + 1 : part * 16 + 16]', 'w')} AS dist FROM d, cb) GROUP BY id, part)"
+CODES = f"cb AS (SELECT p AS part, id AS code, e[p * 16 + 1 : p * 16 + 16] AS w FROM d, range(4) t(p) WHERE id < 16), cd AS (SELECT id, part, arg_min(code, dist * 1000000 + code * 1e-6) AS code FROM (SELECT id, part, code, {total('e[part * 16 + 1 : part * 16 + 16]', 'w')} AS dist FROM d, cb) GROUP BY id, part)"
 
 
 @query("pq_encode", f"WITH {VIEWS}, {CODES} SELECT id, string_agg(CAST(code AS VARCHAR), ',' ORDER BY part) AS codes FROM cd GROUP BY id")
@@ -567,6 +598,19 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(knn.ranked(made.select("qid", "id", F.round("dist", 9).alias("dist")), 10))
 
 
+PQRANK = f"h AS (SELECT qid, cd.id, round(sum({total('qe[cd.part * 16 + 1 : cd.part * 16 + 16]', 'w')}), 9) AS dist FROM q, cd JOIN cb ON cd.part = cb.part AND cd.code = cb.code GROUP BY qid, cd.id), vr AS (SELECT h.qid, h.id, d.pano, row_number() OVER (PARTITION BY h.qid ORDER BY dist, h.id) AS rank FROM h JOIN d ON h.id = d.id), fo AS (SELECT qid, pano, min(rank) AS f FROM vr GROUP BY qid, pano), pr AS (SELECT qid, pano, row_number() OVER (PARTITION BY qid ORDER BY f, pano) AS rank FROM fo)"
+
+
+@query("pq_map_summary", f"WITH {VIEWS}, {TRUTH}, {CODES}, {PQRANK}, {APSQL} SELECT round(avg(ap) * 100, 6) AS map, round(avg(p) * 100, 6) AS p_at_1 FROM ap JOIN p1 ON ap.qid = p1.qid")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Product quantization ranks the views, their panoramas are scored."""
+    v = views(spark, sf)
+    made = quantize.adc_search(queries_of(v), quantize.encode(points_of(v), books(v)), books(v))
+    hits = knn.ranked(made.select("qid", "id", F.round("dist", 9).alias("dist")), None)
+    panos, truth = ranking.first_occurrence(hits.join(v.select(F.col("image_id").alias("id"), "pano"), "id")), truth_of(v)
+    return rounded(ranking.summary(ranking.average_precision(panos, truth), ranking.precision_at(panos, truth, 1)), "map", "p_at_1")
+
+
 @query("pq_trained_search")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     v = views(spark, sf)
@@ -577,7 +621,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("room_count_select")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     panos = hierarchy.pano_table(views(spark, sf)).select(F.xxhash64("pano").alias("id"), F.col("location").alias("vec"))
-    return rounded(quantize.choose_count(panos, 0.08, most=20), "mean_dist")
+    return rounded(quantize.choose_count(panos, 0.08), "mean_dist")
 
 
 @query("room_spread", f"WITH {VIEWS}, x AS (SELECT room, vec_id, e[i] - avg(e[i]) OVER (PARTITION BY room, i) AS o FROM (SELECT room, vec_id, e, unnest([1, 2, 3]) AS i FROM v)), y AS (SELECT room, vec_id, sqrt(sum(o * o)) AS dist FROM x GROUP BY room, vec_id) SELECT round(avg(dist), 6) AS mean_dist FROM y")
@@ -671,7 +715,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return prep.missing_rows(v.select("id"), stored)
 
 
-@query("sample_without_replacement")
+@query("sample_without_replacement", "SELECT vec_id AS id FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR) || ':3'), vec_id LIMIT 50")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return prep.sample_rows(views(spark, sf).select(F.col("image_id").alias("id")), 50, seed=3)[0]
 

@@ -15,16 +15,18 @@ from ..operators.knn import knn_join
 def ingest(points: DataFrame, index: Index, checkpoint: str, then: Callable[[Index], None], rebuild_threshold: float = 2.0) -> StreamingQuery:
     """Adds each micro-batch of streamed points (``id, vec``) to the index; ``then`` gets each new handle.
 
-    A batch that comes again after a restart adds nothing, since ids that the index has are left out.
+    A batch is stored beside the stream's checkpoint and read from there. One that comes again after a restart adds
+    nothing, since ids that the index has are left out.
     """
     held = [index]
 
-    def add(batch: DataFrame, _: int) -> None:
-        new = batch.dropDuplicates(["id"]).join(held[0]._all().select("id"), "id", "left_anti")
-        rows = [(r.id, list(r.vec)) for r in new.select("id", "vec").collect()]  # a micro-batch is bounded by its trigger
-        if rows:
-            fixed = batch.sparkSession.createDataFrame(rows, batch.select("id", "vec").schema)
-            held[0] = held[0].add_points(fixed, rebuild_threshold)
+    def add(batch: DataFrame, number: int) -> None:
+        path = f"{checkpoint}/points/batch={number}"
+        new = batch.select("id", "vec").dropDuplicates(["id"]).join(held[0]._all().select("id"), "id", "left_anti")
+        new.write.mode("overwrite").parquet(path)
+        stored = batch.sparkSession.read.schema(batch.select("id", "vec").schema).parquet(path)
+        if not stored.isEmpty():
+            held[0] = held[0].add_points(stored, rebuild_threshold)
         then(held[0])
 
     return points.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).start()
