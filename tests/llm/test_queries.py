@@ -83,12 +83,39 @@ def edit(a, b):
     return row[-1]
 
 
-def line_truth(docs, texts):
-    occ = lines.occurrences(docs.select("doc_id", "text")).collect()
-    norm = lambda x: " ".join(w for w in re.split("[\x20\x09-\x0d]+", x.lower()) if w)
-    named = {(o.doc_id, o.pos): norm(texts[o.doc_id].split("\n")[o.pos]) for o in occ}
-    sims = {named[o.doc_id, o.pos]: o.sim for o in occ}
-    distinct = sorted(sims)
+def norm(line):
+    return " ".join(w for w in re.split("[\x20\x09-\x0d]+", line.lower()) if w)
+
+
+def near_lines(distinct, similarity=0.9):
+    """All pairs of edit similarity or more, of all pairs: those whose letters differ too much are left out before."""
+    import duckdb
+    import numpy as np
+    import pandas as pd
+
+    letters = {c: i for i, c in enumerate(sorted({c for x in distinct for c in x}))}
+    assert len(letters) <= 95  # DuckDB counts bytes, so each letter becomes one
+    one = {ord(c): 32 + i for c, i in letters.items()}
+    counts = np.zeros((len(distinct), len(letters)), np.int32)
+    for i, x in enumerate(distinct):
+        for c, n in collections.Counter(x).items():
+            counts[i, letters[c]] = n
+    size = counts.sum(1)
+    pairs = []
+    for i in range(len(distinct)):
+        most = ((1 - similarity + 1e-9) * np.maximum(size[i], size[i + 1 :])).astype(int)
+        gap = np.abs(counts[i + 1 :] - counts[i]).sum(1)
+        more = np.abs(size[i + 1 :] - size[i])
+        for j in np.flatnonzero((gap + more <= 2 * most) & (more <= most)):
+            pairs.append((distinct[i], distinct[i + 1 + j], int(most[j])))
+    frame = pd.DataFrame(pairs, columns=["x", "y", "most"])
+    frame["v"], frame["w"] = ([x.translate(one) for x in frame[c]] for c in "xy")
+    return duckdb.sql("SELECT x, y FROM frame WHERE levenshtein(v, w) <= most").fetchall() if pairs else []
+
+
+def line_groups(texts):
+    """For each normalised line, a line that stands for its group, by brute force."""
+    distinct = sorted({n for t in texts.values() for x in (t or "").split("\n") if (n := norm(x))})
     root = {x: x for x in distinct}
 
     def find(x):
@@ -96,33 +123,42 @@ def line_truth(docs, texts):
             x = root[x]
         return x
 
-    for i, a in enumerate(distinct):
-        for b in distinct[i + 1 :]:
-            if (sims[a] ^ sims[b]).bit_count() <= lines.DISTANCE:
-                most = int(0.1 * max(len(a), len(b)) + 1e-6)
-                if abs(len(a) - len(b)) <= most and edit(a, b) <= most:
-                    root[find(b)] = find(a)
-    seen, lost = set(), collections.defaultdict(set)
-    for o in sorted(occ, key=lambda o: (o.doc_id, o.text_hash, o.pos)):
-        g = find(named[o.doc_id, o.pos])
-        if g in seen:
-            lost[o.doc_id].add(o.pos)
-        seen.add(g)
-    return {i: "\n".join(x for p, x in enumerate(t.split("\n")) if p not in lost[i]) for i, t in texts.items()}
+    for a, b in near_lines(distinct):
+        root[find(b)] = find(a)
+    return {x: find(x) for x in distinct}
 
 
-def test_line_dedup_equals_brute_force(spark, sf, docs, texts):
-    assert {r.doc_id: r.text for r in queries.op3_line_dedup(spark, sf).collect()} == line_truth(docs, texts)
+def check_lines(texts, got, left=0.02):
+    """Every group of linked lines keeps one, and at most the share ``left`` of the lines that should go stay."""
+    groups = line_groups(texts)
+    by_group = collections.defaultdict(list)
+    for i in sorted(texts):
+        kept = (got[i] or "").split("\n")
+        at = 0
+        for p, x in enumerate((texts[i] or "").split("\n")):
+            stays = at < len(kept) and kept[at] == x
+            at += stays
+            if norm(x):
+                by_group[groups[norm(x)]].append((i, p, stays))
+            else:
+                assert stays
+        assert at == len(kept) or not got[i]
+    extra = sum(sum(s for *_, s in rows) - 1 for rows in by_group.values())
+    gone = sum(len(rows) - 1 for rows in by_group.values())
+    assert all(any(s for *_, s in rows) for rows in by_group.values())
+    assert gone and extra <= left * gone, (extra, gone)
+
+
+def test_line_dedup_equals_brute_force(spark, sf, texts):
+    check_lines(texts, {r.doc_id: r.text for r in queries.op3_line_dedup(spark, sf).collect()})
 
 
 def test_fuzzy_lines_join(spark):
     words = [f"word{i}" for i in range(90)]
     near = [*words[:89], "wordX9"]
     made = spark.createDataFrame([(1, " ".join(words)), (2, "other line\n" + " ".join(near)), (3, "Other  LINE"), (4, "a\n\na")], "doc_id bigint, text string")
-    occ = {(o.doc_id, o.pos): o.sim for o in lines.occurrences(made).collect()}
-    close = (occ[1, 0] ^ occ[2, 1]).bit_count() <= lines.DISTANCE
     got = {r.doc_id: r.text for r in lines.line_digest(made).collect()}
-    assert got == {1: " ".join(words), 2: "other line" + ("" if close else "\n" + " ".join(near)), 3: "", 4: "a\n"}
+    assert got == {1: " ".join(words), 2: "other line", 3: "", 4: "a\n"}
 
 
 def test_most_lines_of_edit_similarity_are_found(spark):
@@ -130,44 +166,49 @@ def test_most_lines_of_edit_similarity_are_found(spark):
 
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
-    rows, kinds = [], (12, 20, 50, 100)
+    rows, kinds = [], (4, 6, 12, 20, 50, 100)
     for k, n in enumerate(kinds):
         for i in range(100):
             a = [word() for _ in range(n)]
             b = list(a)
             for at in rng.sample(range(n), max(1, n // 20)):
-                b[at] = "x" + b[at][1:-1] + "y"
-            assert edit(" ".join(a), " ".join(b)) <= int(0.1 * max(len(" ".join(a)), len(" ".join(b))) + 1e-6)
+                b[at] = b[at][:-1] + "y" if n < 12 else "x" + b[at][1:-1] + "y"
+            assert len(near_lines([" ".join(a), " ".join(b)])) == 1
             rows += [(1000 * k + 2 * i, " ".join(a)), (1000 * k + 2 * i + 1, " ".join(b))]
     made = spark.createDataFrame(rows, "doc_id bigint, text string")
     found = collections.Counter(r.doc_id // 1000 for r in lines.line_digest(made).collect() if r.n_removed)
     assert all(found[k] >= 95 for k in range(len(kinds))), found
 
 
-def test_masks_meet_every_close_pair():
+def test_lines_that_differ_in_a_letter_are_found(spark):
     import random
 
-    rng = random.Random(0)
-    for n in (1, 10**4, 10**7, 10**10):
-        found = lines.masks(n)
-        for _ in range(200):
-            a = rng.getrandbits(63)
-            b = a
-            for bit in rng.sample(range(63), lines.DISTANCE):
-                b ^= 1 << bit
-            assert any(a & m == b & m for m in found)
+    rng = random.Random(6)
+    rows = []
+    for i in range(300):
+        n = 2 if i < 50 else rng.randint(8, 30)
+        a = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(5, 8))) for _ in range(n))
+        at = rng.randrange(len(a))
+        rows += [(2 * i, a), (2 * i + 1, a[:at] + "z" + a[at + 1 :])]
+    made = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = sum(r.n_removed for r in lines.line_digest(made).collect())
+    assert found >= 285, found
 
 
-def test_simhash_equals_plain_count(spark):
+def test_large_group_of_near_lines(spark):
+    """A line with many variants, and variants of variants, in buckets of far more than a few lines. Six of 299 were missed."""
     import random
 
-    from pyspark.sql import functions as F
-
-    rng = random.Random(1)
-    rows = [([rng.getrandbits(63) - (1 << 62) for _ in range(n)],) for n in (1, 3, 61, 63, 65, 255, 257, 401)]
-    got = spark.createDataFrame(rows, "h array<bigint>").select("h", lines.simhash(F.col("h")).alias("s")).collect()
-    for r in got:
-        assert r.s == sum(1 << b for b in range(63) if 2 * sum(x >> b & 1 for x in r.h) > len(r.h))
+    rng = random.Random(8)
+    base = [f"word{rng.randrange(10**4)}" for _ in range(24)]
+    texts = {i: " ".join(base) for i in range(3)}
+    for i in range(3, 300):
+        w = list(base)
+        for at in rng.sample(range(24), rng.choice((1, 1, 2, 4))):
+            w[at] = f"word{rng.randrange(10**4)}"
+        texts[i] = " ".join(w)
+    made = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    check_lines(texts, {r.doc_id: r.text for r in lines.line_digest(made).collect()}, left=0.05)
 
 
 def test_token_counts_equal_library(spark, sf, texts):
@@ -276,6 +317,46 @@ PARTED = {
 }
 
 
+def test_personal_data_takes_linear_time():
+    import time
+
+    shapes = (lambda n: "a-" * n + " x dot y", lambda n: "1 one " + "1" * n, lambda n: "a." * n + " one two", lambda n: "( at )" + " " * n + "x", lambda n: "a @ b . " * n, lambda n: "4012 8888 8888 1881  " * n)
+    for shape in shapes:
+        took = []
+        for n in (4_000, 32_000):
+            text = shape(n)
+            began = time.process_time()
+            pii.find(text)
+            took.append(time.process_time() - began)
+        assert took[1] < 24 * max(took[0], 0.02), (shape(2), took)
+
+
+def test_personal_data_recall_of_disguises():
+    import random
+
+    rng = random.Random(9)
+    names, digits = list(pii.SPELLED), {v: k for k, v in reversed(pii.SPELLED.items())}
+    like = {v: k for k, v in pii.LOOKALIKES.items() if v.isalpha()}
+    found = total = 0
+    for _ in range(400):
+        user, host = ("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(2))
+        number = "".join(rng.choice("123456789") for _ in range(10))
+        kind = rng.randrange(6)
+        text = [
+            f"{user} [at] {host} [dot] org",
+            f"{user}(at){host}(dot)com",
+            f"{user} at {host} dot net",
+            "".join(like.get(c, c) for c in user) + f"@{host}.com",
+            "+1 " + " ".join(digits[c] for c in number),
+            f"+1 {number[:3]}\u2011{number[3:6]}\u2011{number[6:]}",
+        ][kind]
+        whole = f"Some words, {text}, and others."
+        spans = [s.split(":") for s in pii.find(whole)[5].split(",") if s]
+        total += 1
+        found += any(whole[int(a) : int(b)] == text for _, a, b in spans)
+    assert names and found >= 0.95 * total, (found, total)
+
+
 @pytest.mark.parametrize("text", PARTED)
 def test_parted_and_partly_spelt_numbers(text):
     spans = [s.split(":") for s in filter(None, pii.find(text)[5].split(","))]
@@ -313,12 +394,28 @@ def test_segmentation_equals_all_splits():
         assert math.isclose(score(urls.segment(name, lambda w: counts.get(w, 0), 100)), max(map(score, splits)))
 
 
-def test_url_classifier_held_out():
-    right = 0
-    for seeds, sign in ((urls.BLOCK_SEEDS, 1), (urls.ALLOW_SEEDS, -1)):
-        for text in ("pills casino", "free spins jackpot", "replica watches") if sign > 0 else ("museum history", "library articles", "weather forecast"):
-            right += urls.seed_model().score(text.split()) * sign > 0
-    assert right == 6
+def test_long_names_and_words_are_segmented(spark):
+    word = "abcdefghij" * 4
+    made = spark.createDataFrame([(1, f"http://x.example.com/{word}/a", None), (2, f"http://{'cheap' * 20}{word}pills.example.com/fr/1", None)], "page_id bigint, url string, html string")
+    got = {r.page_id: r.score for r in urls.judge_urls(made).collect()}
+    model = urls.seed_model()
+    assert got[2] == round(model.prior + 20 * model.odds["cheap"] + model.odds["pills"], 6)
+
+
+def test_url_classifier_held_out(spark, sf):
+    """Names that training never saw in this form: words of two labelled names run together, in any order."""
+    import random
+
+    rng = random.Random(3)
+    words = lambda seeds: [urls.tokens_of(s.split("/")[0]) for s in seeds]
+    rows = []
+    for label, names in enumerate((words(urls.ALLOW_SEEDS), words(urls.BLOCK_SEEDS))):
+        for i in range(100):
+            a, b = rng.sample(names, 2)
+            rows.append((1000 * label + i, f"http://{rng.choice(a)}{rng.choice(b)}.example.com/fr/{i}", None))
+    made = urls.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    right = sum((r.verdict == "block") == (r.page_id >= 1000) for r in made)
+    assert right >= 0.9 * len(rows), right
 
 
 @pytest.fixture(scope="module")
@@ -342,6 +439,33 @@ def test_license_scan_finds_notices(spark, sf, texts):
             assert any(n in texts[r.doc_id][int(a) : int(b)] for n, g in names.items() if g == f)
 
 
+def test_license_scan_finds_wrapped_notices(license_model):
+    import textwrap
+
+    for family, notices in licenses.TEMPLATES.items():
+        for notice in notices:
+            for mark in ("", "# ", " * "):
+                wrapped = "\n".join(mark + x for x in textwrap.wrap(notice, 72))
+                text = f"plain words of a text\n{wrapped}\n\nmore plain words"
+                n, families, spans = licenses.scan(license_model, text)
+                assert (n, families) == (1, family), (notice, mark)
+                _, a, b = spans.rsplit(":", 2)
+                assert text[int(a) : int(b)] == wrapped
+
+
+def test_quality_filter_in_any_order(docs):
+    import itertools
+
+    every = [r.name for r in quality.BASE_RULES + quality.RULES]
+    want = {r.doc_id for r in quality.quality(docs).collect() if r.kept}
+    for order in (every, every[::-1]):
+        assert {r.doc_id for r in quality.keep(docs, order=order).collect()} == want
+    assert {r.doc_id for r in quality.keep(docs).collect()} == want
+    plan = quality.plan_cascade([r.text for r in docs.limit(50).collect()], quality.BASE_RULES + quality.RULES, figures=False)
+    assert sorted(p.name for p in plan) == sorted(every)
+    assert all(x.rejected / x.cost >= y.rejected / y.cost for x, y in itertools.pairwise(plan))
+
+
 def test_quality_order_changes_nothing(docs):
     names = [r.name for r in quality.RULES]
     a, b = (sorted((r.doc_id, r.kept) for r in quality.quality(docs, order=o).collect()) for o in (names, names[::-1]))
