@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -46,6 +47,20 @@ def settled(df: DataFrame, rows_per_task: int = 100_000) -> tuple[DataFrame, int
     return made.coalesce(max(1, -(-rows // rows_per_task))), rows
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """``df``, written as Parquet beside the checkpoints, and what deletes it; for large tables that are read in parts."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    where = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+
+    def delete() -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    return spark.read.schema(df.schema).parquet(where), delete
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the checkpoint of a table that nothing reads any more."""
     plan = df._jdf.queryExecution().logical()
