@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, map_texts, reliable, shared_dir, small
+from .common import BROADCAST_ROWS, map_texts, reliable, settled, shared_dir, small
 
 CACHE = "digest binary, version string, n_tokens long"
 
@@ -119,8 +119,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
             todo = digested.join(small(named, misses), same, "left_semi")
         encoded = map_texts(todo.select("digest", "text"), lambda: (lambda count: lambda text: (count(text),))(counter(tokenizer)), T.StructType([T.StructField("n_tokens", T.LongType())]))
         encoded.dropDuplicates(["digest"]).select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(where)
-    counts = _stored(spark, where).where(F.col("version") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
-    return keys.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # Stored apart, so that the join is between plain exchanges, which Spark can split where very many rows have one text.
+    counts, n = settled(_stored(spark, where).where(F.col("version") == version).select("digest", "n_tokens").dropDuplicates(["digest"]))
+    return keys.join(small(counts, n), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def _stored(spark, where: str) -> DataFrame:
