@@ -25,9 +25,11 @@ class Metric(NamedTuple):
     block: Callable[[np.ndarray, np.ndarray], np.ndarray]
     kd: bool = True
     vector_space: bool = True
+    #: The same distances by a matrix product, and how far they may be off: a fast first look.
+    rough: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, float]] | None = None
 
 
-def _summed(columns: Callable[[Column, Column], Column], term: Callable[[np.ndarray, np.ndarray], np.ndarray], **tags: bool) -> Metric:
+def _summed(columns: Callable[[Column, Column], Column], term: Callable[[np.ndarray, np.ndarray], np.ndarray], **tags) -> Metric:
     return Metric(lambda a, b: _fold(_terms(a, b, columns)), lambda q, p: np.stack([term(x[None, :], p).sum(axis=1) for x in q]) if len(q) else np.zeros((0, len(p))), **tags)
 
 
@@ -51,11 +53,21 @@ def _popcount(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.bitwise_count(q[:, None, :].view(np.uint64) ^ p[None, :, :].view(np.uint64)).sum(axis=2).astype(float)
 
 
+def _rough_dot(q: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, float]:
+    largest = np.sqrt((q * q).sum(axis=1).max(initial=0) * (p * p).sum(axis=1).max(initial=0))
+    return -(q @ p.T), 1e-12 * q.shape[1] * (1 + largest)
+
+
+def _rough_l2(q: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, float]:
+    a, b = (q * q).sum(axis=1), (p * p).sum(axis=1)
+    return a[:, None] + b[None, :] - 2 * (q @ p.T), 1e-12 * q.shape[1] * (1 + a.max(initial=0) + b.max(initial=0))
+
+
 METRICS: dict[str, Metric] = {
-    "l2": _summed(lambda x, y: (x - y) * (x - y), lambda x, y: (x - y) ** 2),
+    "l2": _summed(lambda x, y: (x - y) * (x - y), lambda x, y: (x - y) ** 2, rough=_rough_l2),
     "l1": _summed(lambda x, y: F.abs(x - y), lambda x, y: np.abs(x - y)),
     "max": Metric(lambda a, b: F.array_max(_terms(a, b, lambda x, y: F.abs(x - y))), lambda q, p: np.abs(q[:, None, :] - p[None, :, :]).max(axis=2), kd=False),
-    "dot": Metric(lambda a, b: -_fold(_terms(a, b, lambda x, y: x * y)), lambda q, p: -np.einsum("qd,pd->qp", q, p), kd=False),
+    "dot": Metric(lambda a, b: -_fold(_terms(a, b, lambda x, y: x * y)), lambda q, p: -np.einsum("qd,pd->qp", q, p), kd=False, rough=_rough_dot),
     # A similarity that is minimised like a distance, as the engine's users expect of this metric's name.
     "hist_intersection": _summed(F.least, np.minimum),
     "hellinger": _summed(lambda x, y: (F.sqrt(x) - F.sqrt(y)) * (F.sqrt(x) - F.sqrt(y)), lambda x, y: (np.sqrt(x) - np.sqrt(y)) ** 2),

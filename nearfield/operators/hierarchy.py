@@ -84,8 +84,9 @@ def group_pano(views: DataFrame, yaw_bins: int = 1, pitch_bins: int = 1, offset_
 
 
 def group_custom(views: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Groups from a table ``room, ids``; ids that no view has are left out."""
-    listed = clusters.select(F.monotonically_increasing_id().alias("c"), "room", F.explode("ids").alias("image_id"))
+    """Groups from a table ``room, ids``, numbered within the room by their ids; ids that no view has are left out."""
+    place = F.row_number().over(Window.partitionBy("room").orderBy("ids")) - 1
+    listed = clusters.select(place.alias("c"), "room", "ids").select("c", "room", F.explode("ids").alias("image_id"))
     named = listed.select(F.lit("custom").alias("stage"), F.concat_ws("_", "room", "c").alias("cluster"), "image_id")
     return named.join(views.select("image_id"), "image_id", "left_semi").select("stage", "cluster", "image_id")
 

@@ -112,7 +112,8 @@ class Index:
             data = alive(self._all(), self.removed)
             places = lsh.sampled_bits(64 * self.veclen(), params.tables, params.key_size, params.seed)
             found = lsh.search(queries, data, lsh.buckets(data, places), places, k, params.probe_level)
-            return found.where(F.col("dist") < radius).select("qid", "id", "dist", F.lit(0).cast("long").alias("n_distances"))
+            met = lsh.candidates(queries, lsh.buckets(data, places), places, params.probe_level).groupBy("qid").agg(F.count(F.lit(1)).alias("n_distances"))
+            return found.where(F.col("dist") < radius).join(met, "qid").select("qid", "id", "dist", "n_distances")
         m, kind = metric(name, params.p), _dtype(self.points)
         found = None
         data = alive(self.points, self.removed)
@@ -139,7 +140,8 @@ class Index:
             return self.spark.createDataFrame([], HITS)
         if self.delta is not None:
             late = knn_join(queries, alive(self.delta, self.removed), k, name, params.p).where(F.col("dist") < radius)
-            found = found.unionByName(late.select("qid", "id", "dist", F.lit(0).cast("long").alias("n_distances")))
+            n = alive(self.delta, self.removed).count()
+            found = found.unionByName(late.select("qid", "id", "dist", F.lit(n).cast("long").alias("n_distances")))
         return found
 
     def save(self, path: str) -> None:

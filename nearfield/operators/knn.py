@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,25 @@ def nearest(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], dist[near]))[:k]]
 
 
-def _search(points: DataFrame, qids: np.ndarray, vecs: np.ndarray, name: str, p: float, pick: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    block = metric(name, p).block
+class Pick(NamedTuple):
+    """Which points of a task a query takes: ``of(distances, ids)``; none lies above ``limit(distances)``."""
+
+    of: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    limit: Callable[[np.ndarray], float]
+
+
+def _least(k: int) -> Callable[[np.ndarray], float]:
+    return lambda d: np.partition(d, k - 1)[k - 1] if 0 < k <= len(d) else np.inf
+
+
+def _search(points: DataFrame, qids: np.ndarray, vecs: np.ndarray, name: str, p: float, pick: Pick) -> DataFrame:
+    """A matrix product finds the points that a query may take, where the metric has one; only these are measured."""
+    block, rough = metric(name, p).block, metric(name, p).rough
+
+    def taken(q: np.ndarray, data: np.ndarray, ids: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = block(q[None, :], data[near])[0]
+        x = pick.of(d, ids[near])
+        return ids[near[x]], d[x]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,15 +74,20 @@ def _search(points: DataFrame, qids: np.ndarray, vecs: np.ndarray, name: str, p:
                 continue
             step = max(1, (4 << 20) // max(1, data.size))
             for at in range(0, len(qids), step):
-                dists = block(vecs[at : at + step], data)
-                out = [(np.full(len(x), q), ids[x], d[x]) for q, d in zip(qids[at : at + step], dists) if len(x := pick(d, ids))]
+                some = vecs[at : at + step]
+                if rough is None:
+                    found = ((ids[x], d[x]) for d in block(some, data) for x in (pick.of(d, ids),))
+                else:
+                    first, off = rough(some, data)
+                    found = (taken(q, data, ids, np.flatnonzero(d <= pick.limit(d) + 2 * off)) for q, d in zip(some, first))
+                out = [(np.full(len(i), q), i, d) for q, (i, d) in zip(qids[at : at + step], found) if len(i)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["qid", "id", "dist"])
 
     return points.where("vec IS NOT NULL").select("id", "vec").mapInArrow(run, HITS)
 
 
-def _all_blocks(queries: DataFrame, points: DataFrame, name: str, p: float, pick: Callable) -> DataFrame:
+def _all_blocks(queries: DataFrame, points: DataFrame, name: str, p: float, pick: Pick) -> DataFrame:
     found = None
     for qids, vecs in query_blocks(queries.where("vec IS NOT NULL")):
         part = _search(points, qids, vecs, name, p, pick)
@@ -94,7 +117,7 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, name: str = "l2", p:
     found; ties rank by id; fewer than k points give fewer rows.
     """
     most = k + skip
-    return ranked(_all_blocks(queries, alive(points, removed), name, p, lambda d, ids: nearest(d, ids, most)), k, skip)
+    return ranked(_all_blocks(queries, alive(points, removed), name, p, Pick(lambda d, ids: nearest(d, ids, most), _least(most))), k, skip)
 
 
 def radius_join(queries: DataFrame, points: DataFrame, radius: float, max_neighbors: int = -1, name: str = "l2", p: float = 2.0, removed: DataFrame | None = None) -> DataFrame:
@@ -104,14 +127,14 @@ def radius_join(queries: DataFrame, points: DataFrame, radius: float, max_neighb
     """
     data = alive(points, removed)
     if max_neighbors == 0:
-        hits = _all_blocks(queries, data, name, p, lambda d, ids: np.flatnonzero(d < radius)).groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+        hits = _all_blocks(queries, data, name, p, Pick(lambda d, ids: np.flatnonzero(d < radius), lambda d: radius)).groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
         return queries.select("qid").join(hits, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
     def pick(d: np.ndarray, ids: np.ndarray) -> np.ndarray:
         near = np.flatnonzero(d < radius)
         return near if max_neighbors < 0 else near[nearest(d[near], ids[near], max_neighbors)] if len(near) else near
 
-    return ranked(_all_blocks(queries, data, name, p, pick), None if max_neighbors < 0 else max_neighbors)
+    return ranked(_all_blocks(queries, data, name, p, Pick(pick, lambda d: radius)), None if max_neighbors < 0 else max_neighbors)
 
 
 def knn_expressions(queries: DataFrame, points: DataFrame, k: int, name: str = "l2", p: float = 2.0) -> DataFrame:

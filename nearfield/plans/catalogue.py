@@ -257,11 +257,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.group_pano(parsed, 8, 3)
 
 
-@query("group_custom", "WITH v AS (SELECT vec_id FROM embeddings), c AS (SELECT 'custom_' || (vec_id % 4) AS cluster, vec_id FROM v WHERE vec_id < 40) SELECT 'custom' AS stage, cluster, vec_id AS image_id FROM c")
+@query("group_custom", "WITH v AS (SELECT vec_id FROM embeddings), c AS (SELECT 'custom_' || (vec_id % 4) || '_0' AS cluster, vec_id FROM v WHERE vec_id < 40) SELECT 'custom' AS stage, cluster, vec_id AS image_id FROM c")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     listed = spark.createDataFrame([(f"custom_{k}", [*range(k, 40, 4), 10**9]) for k in range(4)], "room string, ids array<bigint>")
-    made = hierarchy.group_custom(views(spark, sf), listed)
-    return made.withColumn("cluster", F.regexp_extract("cluster", r"^(custom_\d+)", 1))
+    return hierarchy.group_custom(views(spark, sf), listed)
 
 
 def two_stages(v: DataFrame) -> DataFrame:
@@ -437,18 +436,58 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("best_first_sweep")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean average precision, precision at 1 and number of distances for each leaf budget."""
     v = views(spark, sf)
-    nodes, edges, panos = tree_of(v)
-    found = search.best_first(queries_of(v), nodes, edges, panos, [1, 2, 4, 8, 16, 32])
-    truth = truth_of(v).join(found.select("budget").distinct(), F.lit(True)).withColumn("qid", F.struct("budget", "qid"))
+    return swept(search.best_first(queries_of(v), *tree_of(v), [1, 2, 4, 8, 16, 32]), truth_of(v))
+
+
+def clustered(v: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A k-means tree over all views, with pooled nodes and the views as leaves."""
+    built = index.build_index(points_of(v), Params("kmeans", branching=8))
+    below = v.select(F.col("image_id").alias("id"), F.concat(F.lit("image/"), F.col("image_id").cast("string")).alias("node"), "image_id")
+    return search.pooled_tree(built.nodes, below, v)
+
+
+@query("pooled_tree_all_leaves", f"WITH {VIEWS}, {TRUTH}, {RANKED}, {APSQL} SELECT round(avg(ap) * 100, 6) AS map, round(avg(p) * 100, 6) AS p_at_1 FROM ap JOIN p1 ON ap.qid = p1.qid")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """With a budget that no tree exhausts the search ranks all views, as a scan does."""
+    v = views(spark, sf)
+    panos, truth = search.best_first(queries_of(v), *clustered(v), [1 << 40]), truth_of(v)
+    return rounded(ranking.summary(ranking.average_precision(panos, truth), ranking.precision_at(panos, truth, 1)), "map", "p_at_1")
+
+
+def swept(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """Mean average precision, precision at 1 and number of distances for each leaf budget."""
     keyed = found.withColumn("qid", F.struct("budget", "qid"))
-    ap, p1 = ranking.average_precision(keyed, truth), ranking.precision_at(keyed, truth, 1)
+    truth = truth.join(found.select("budget").distinct(), F.lit(True)).withColumn("qid", F.struct("budget", "qid"))
     cost = keyed.groupBy("qid").agg(F.max("n_distances").alias("n_distances"))
-    joined = ap.join(p1, "qid").join(cost, "qid")
+    joined = ranking.average_precision(keyed, truth).join(ranking.precision_at(keyed, truth, 1), "qid").join(cost, "qid")
     return joined.groupBy(F.col("qid.budget").alias("budget")).agg((F.avg("ap") * 100).alias("map"), (F.avg("p_at_k") * 100).alias("p_at_1"), F.avg("n_distances").alias("n_distances"))
 
 
+@query("pooled_tree_sweep")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    v = views(spark, sf)
+    return swept(search.best_first(queries_of(v), *clustered(v), [1, 4, 16, 64]), truth_of(v))
+
+
+@query("tree_head_sweep")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A k-means tree over the pooled panoramas, put over that stage."""
+    v = views(spark, sf)
+    stage = hierarchy.pool_stages(v.select(F.lit(0).alias("level"), F.lit("pano").alias("stage"), F.col("pano").alias("cluster"), "image_id"), v)
+    ids = hierarchy.dense_ids(stage.select("cluster", "vec"), "cluster", "id")
+    below = ids.select("id", F.col("cluster").alias("node")).join(v.select(F.col("pano").alias("node"), "image_id"), "node")
+    built = index.build_index(ids.select("id", "vec"), Params("kmeans", branching=4))
+    return swept(search.best_first(queries_of(v), *search.pooled_tree(built.nodes, below, v), [1, 4, 16]), truth_of(v))
+
+
+@query("pano_count", f"WITH {VIEWS} SELECT count(DISTINCT pano) AS n_panos FROM v")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct panoramas below the root of the hierarchy."""
+    nodes, _, panos = tree_of(views(spark, sf))
+    return panos.join(nodes.where("level = 0").select("node"), "node").agg(F.countDistinct("pano").alias("n_panos"))
+
+
 # --- hash tables, trees, quantization -----------------------------------------------------------------------------
 
 PLACES = lsh.sampled_bits(63, 4, 8)

@@ -64,6 +64,70 @@ def test_best_first_counts_and_completes(spark):
     assert {r.budget: r.n_distances for r in found} == {1: 4, 9: 4}
 
 
+def plain_search(nodes, children, listed, q, budget, every_step, all_leaves):
+    """The search by its definition, on sorted lists: the panoramas in order and the distances counted."""
+    score = lambda n: -float(np.dot(nodes[n][2], q))
+    queue, explored, leaves, counted = [(0.0, "")], 0, [], 0
+    while queue and explored < budget:
+        queue.sort()
+        dist, node = queue.pop(0)
+        while True:
+            below = children.get(node, [])
+            if all_leaves and node and nodes[node][1] and below:
+                counted += len(below) * (len(below) > 1)
+                explored += len(below)
+                leaves += [(score(c), c) for c in below]
+                break
+            if not below:
+                explored += 1
+                leaves.append((dist, node))
+                break
+            counted += len(below) * (len(below) > 1)
+            met = sorted((score(c), c) for c in below)
+            queue += met if every_step else met[1:]
+            if every_step:
+                break
+            dist, node = met[0]
+    order = []
+    for _, n in sorted(leaves) + sorted(queue):
+        order += [p for p in listed.get(n, []) if p not in order]
+    return order, counted
+
+
+def test_best_first_equals_plain_search(spark):
+    rng = np.random.default_rng(5)
+    rows, edges, panos = [], [], []
+    for a in range(4):
+        rows.append((f"n{a}", 0, False, rng.normal(size=5).tolist()))
+        for b in range(int(rng.integers(1, 5))):
+            rows.append((f"n{a}.{b}", 1, True, rng.normal(size=5).tolist()))
+            edges.append((f"n{a}", f"n{a}.{b}"))
+            for c in range(int(rng.integers(0, 4))):
+                rows.append((f"n{a}.{b}.{c}", 2, False, rng.normal(size=5).tolist()))
+                edges.append((f"n{a}.{b}", f"n{a}.{b}.{c}"))
+    for n, *_ in rows:
+        panos += [(n, f"p{x}", k) for k, x in enumerate(rng.permutation(9)[:3])]
+    nodes = spark.createDataFrame(rows, "node string, level int, is_leaf boolean, vec array<double>")
+    tables = spark.createDataFrame(edges, "parent string, child string"), spark.createDataFrame(panos, "node string, pano string, pos int")
+    by = {n: (level, leaf, v) for n, level, leaf, v in rows}
+    children = {"": sorted(n for n in by if by[n][0] == 0)}
+    for a, b in sorted(edges):
+        children.setdefault(a, []).append(b)
+    listed = {}
+    for n, p, _ in panos:
+        listed.setdefault(n, []).append(p)
+    vecs = {i: rng.normal(size=5).tolist() for i in range(6)}
+    queries = spark.createDataFrame(list(vecs.items()), "qid bigint, vec array<double>")
+    for every_step in (False, True):
+        for all_leaves in (False, True):
+            found = search.best_first(queries, nodes, *tables, [1, 2, 5], every_step=every_step, all_leaves=all_leaves).collect()
+            for i, v in vecs.items():
+                for budget in (1, 2, 5):
+                    own = sorted((r for r in found if (r.qid, r.budget) == (i, budget)), key=lambda r: r.rank)
+                    want, counted = plain_search(by, children, listed, v, budget, every_step, all_leaves)
+                    assert [r.pano for r in own] == want and {r.n_distances for r in own} == {counted}
+
+
 def test_beams_and_simplify(spark):
     nodes, edges, _ = tree(spark)
     q = spark.createDataFrame([(1, [1.0, 0.05])], "qid bigint, vec array<double>")
