@@ -277,3 +277,17 @@ def keep(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, re
         again = kept.join(small(twice, n), same, "left_semi").dropDuplicates(["doc_id", "_nf_hash"])
         kept = kept.join(small(twice, n), same, "left_anti").unionByName(again)
     return kept.select(*docs.columns)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y, c = nx.n AND c = ny.n AS same FROM p JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 5 * c >= 4 * (nx.n + ny.n - c)),
+reach AS (SELECT x, y FROM e UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x),
+least_id AS (SELECT x, min(y) AS m FROM reach GROUP BY x),
+linked AS (SELECT x, count(*) AS n_links, count(*) FILTER (WHERE same) AS n_same FROM e GROUP BY x)
+SELECT doc_id, least(doc_id, coalesce(m, doc_id)) AS class_id, CAST(1 + coalesce(n_same, 0) AS BIGINT) AS copies, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM w LEFT JOIN least_id ON doc_id = least_id.x LEFT JOIN linked ON doc_id = linked.x
+"""

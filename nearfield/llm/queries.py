@@ -75,6 +75,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality.ORACLE,
         "op2_mixing": mixing.ORACLE,
+        "op4_ngram_join": ngrams.ORACLE,
         "op7_chat_formatting": chat.ORACLE,
         "op10_decontamination": decontam.ORACLE,
     }
