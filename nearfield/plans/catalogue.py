@@ -211,6 +211,17 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return long_form(pooling.gmp_pool(views(spark, sf), "room"), "room")
 
 
+@query("pool_gmp_solves", f"WITH {VIEWS} SELECT DISTINCT room, true AS solved FROM v")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the pooled vector g of each room meets (X'X + I) g ~ X'1, from the rows and without the solver."""
+    v = views(spark, sf).select("room", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+    g = pooling.gmp_pool(v, "room").withColumnRenamed("vec", "g")
+    weighed = v.join(g, "room").withColumn("w", vectors.dot(F.col("vec"), F.col("g"))).select("room", F.transform("vec", lambda x: x * F.col("w")).alias("vec"))
+    left = pooling.sum_pool(weighed, ["room"]).join(g, "room").select("room", F.zip_with("vec", "g", lambda a, b: a + b).alias("left"))
+    both = left.join(pooling.sum_pool(v, ["room"], unit=True), "room")
+    return both.select("room", (vectors.dot(vectors.normalize(F.col("left")), F.col("vec")) > 1 - 1e-9).alias("solved"))
+
+
 @query("column_statistics", f"WITH {VIEWS} SELECT CAST(i - 1 AS INTEGER) AS dim, round(min(e[i]), 6) AS low, round(max(e[i]), 6) AS high, round(avg(e[i]), 6) AS mean, round(var_pop(e[i]), 6) AS variance FROM (SELECT *, {UNNEST} FROM v) GROUP BY i")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(pooling.column_statistics(views(spark, sf)), "low", "high", "mean", "variance")
@@ -567,6 +578,17 @@ def reached(v: DataFrame, built: index.Index, checks: int, floor: float = 0.9) -
     return each.agg(F.count(F.lit(1)).alias("n_queries"), (F.avg("precision") >= floor).alias("reached"))
 
 
+@query("tree_leaves", f"WITH {VIEWS}, k AS (SELECT unnest(['kmeans', 'hierarchical', 'kdtree', 'kdtree_single']) AS kind) SELECT kind, count(*) AS n, count(DISTINCT id) AS n_distinct, min(id) AS low, max(id) AS high FROM k, d GROUP BY kind")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The leaves of one tree of each kind hold every point once."""
+    points, made = points_of(views(spark, sf)), None
+    for kind in ("kmeans", "hierarchical", "kdtree", "kdtree_single"):
+        nodes = index.build_index(points, Params(kind, branching=8), SHARD_ROWS).nodes
+        one = nodes.where("is_leaf AND tree = 0").select(F.lit(kind).alias("kind"), F.explode("members").alias("id"))
+        made = one if made is None else made.unionByName(one)
+    return made.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_distinct"), F.min("id").alias("low"), F.max("id").alias("high"))
+
+
 APPROXIMATE = {
     "kd_forest_approximate": (Params("kdtree"), 1024),
     "kmeans_approximate": (Params("kmeans", branching=8), 512),
