@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, forget, reliable, settled, small, stored
-from .components import FEW, link_groups, shared_buckets
+from .components import FEW, components, link_groups, shared_buckets
 
 SIMILARITY = 0.9
 #: Lines of up to ``SHORT`` words go by their words but one; up to ``MIDDLE``, by bands of two pairs of neighbouring
@@ -18,10 +18,12 @@ BANDS = {2: 8, 3: 12}
 #: Lines of one or two words go by runs of so many characters, or below ``HALVES`` characters by their halves.
 RUN, HALVES = 5, 20
 PAIRS_PER_TASK = 1000
+#: In a large bucket a block of so many nodes meets another one.
+BLOCK = 512
 
 
 #: SQL: whether the lines x and y differ in ``most`` edits at most. Spark's edit distance takes the product of the lengths, so
-#: cheaper bounds come first. The sum over the words, if equally many, is a distance that some edits reach; so is the sum
+#: cheaper bounds come first. An edit changes the counts of two letters by one at most. The sum over the words, if equally many, is a distance that some edits reach; so is the sum
 #: over pieces, up to 12, cut at the same shares of both lines. And the halves of two lines, cut at one place, differ in
 #: twice the lines' distance at most (long lines that share a band seldom differ so much).
 _BY_WORD = "aggregate(zip_with(split(x, ' '), split(y, ' '), (v, w) -> if(v = w, 0, levenshtein(v, w))), 0, (s, d) -> s + d)"
@@ -30,7 +32,9 @@ _PIECE = "substring({0}, cast(1 + i * length({0}) div {1} AS int), cast((i + 1)
 _DISTANCE = f"levenshtein({_PIECE.format('x', _PIECES)}, {_PIECE.format('y', _PIECES)}, cast(64 + most div 3 AS int))"
 _BY_PIECE = f"aggregate(transform(sequence(0, {_PIECES} - 1), i -> {_DISTANCE}), 0, (s, d) -> if(d < 0, 1 + most, s + d))"
 _HALF = "cast(greatest(length(x), length(y)) div 2 AS int)"
-NEAR = f"""abs(length(x) - length(y)) <= most AND (coalesce({_BY_WORD} <= most, false)
+_LETTER = "abs(length(replace(x, '{0}', '')) - length(x) - length(replace(y, '{0}', '')) + length(y))"
+_LETTERS = " + ".join(map(_LETTER.format, "abcdefghijklmnopqrstuvwxyz"))
+NEAR = f"""abs(length(x) - length(y)) <= most AND {_LETTERS} <= 2 * most AND (coalesce({_BY_WORD} <= most, false)
     OR length(x) >= 1024 AND {_BY_PIECE} <= most
     OR (length(x) > 4096 OR levenshtein(left(x, {_HALF}), left(y, {_HALF}), 2 * most) >= 0) AND levenshtein(x, y, most) >= 0)"""
 
@@ -94,11 +98,11 @@ def most_edits(x: Column, y: Column, similarity: float) -> Column:
 
 
 def finer_pairs(large: DataFrame, keys: DataFrame, may: Callable[[Column, Column], Column]) -> DataFrame:
-    """Pairs ``a, b`` of different parts within buckets of many nodes, ``bucket, node, part, main, mark``.
+    """The likely pairs ``a, b`` of different parts within buckets of many nodes, ``bucket, node, part, main, mark``.
 
     Such a bucket's nodes are put into buckets of longer bands, two to four keys in a row. In those of up to ``FEW``
     nodes all pairs are taken, in others each node with one that is outside the hub's part, so no bucket gives more
-    than a bounded number of pairs for each row.
+    than a bounded number of pairs for each row. Links among these join most parts; ``block_pairs`` has the rest.
     """
     outside = F.max(F.col("part") != F.col("main")).alias("outside")
     nodes, n = settled(large.groupBy("node", "part", "mark").agg(outside))
@@ -114,6 +118,23 @@ def finer_pairs(large: DataFrame, keys: DataFrame, may: Callable[[Column, Column
     return pairs.unionByName(star.select(F.col("node").alias("a"), F.col("pivot.node").alias("b")))
 
 
+def block_pairs(large: DataFrame, may: Callable[[Column, Column], Column]) -> DataFrame:
+    """All pairs ``a, b`` of different parts within buckets, ``bucket, node, part, mark``, that may be linked.
+
+    Each node outside the bucket's greatest part meets all nodes of the bucket, block against block, so no task gets
+    more than ``BLOCK`` nodes of both for one key.
+    """
+    counted = large.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
+    sizes = counted.agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    sizes, n = settled(sizes.select("bucket", F.col("main.part").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / BLOCK).alias("outer"), F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    nodes = large.select("bucket", "node", "part", "mark").join(small(sizes, n), "bucket")
+    of, every = (lambda c: F.pmod(F.xxhash64("node"), F.col(c))), (lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1)))
+    left = nodes.where("part != main").select("bucket", of("outer").alias("i"), every("blocks").alias("j"), F.col("node").alias("a"), F.col("part").alias("p"), F.col("mark").alias("am"))
+    right = nodes.select("bucket", of("blocks").alias("j"), every("outer").alias("i"), F.col("node").alias("b"), F.col("part").alias("q"), F.col("mark").alias("bm"))
+    met = left.join(right, ["bucket", "i", "j"]).where((F.col("p") != F.col("q")) & may(F.col("am"), F.col("bm")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, text_hash, removed``: the sorted positions of the lines that go, for documents that lose some."""
     occ, done_with = stored(occurrences(docs))
@@ -140,7 +161,16 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     def compare(large: DataFrame, known: DataFrame) -> DataFrame:
         pairs = finer_pairs(large, occ.select(F.col("k1").alias("node"), "keys").join(small(nodes, n_nodes), "node").dropDuplicates(["node"]), may)
-        return verify(*settled(pairs.distinct().join(known, ["a", "b"], "left_anti")))
+        pairs, n_pairs = settled(pairs.distinct().join(known, ["a", "b"], "left_anti"))
+        found, n_found = settled(verify(pairs, n_pairs))
+        part = large.select("node", "part").distinct()
+        both = found.join(part.select(F.col("node").alias("a"), F.col("part").alias("p")), "a").join(part.select(F.col("node").alias("b"), F.col("part").alias("q")), "b")
+        joined, n_joined = settled(components(both.select(F.col("p").alias("a"), F.col("q").alias("b"))))
+        joined = joined.select(F.col("node").alias("part"), "root")
+        left = large.drop("main").join(small(joined, n_joined), "part", "left").withColumn("part", F.coalesce("root", "part")).drop("root")
+        rest = block_pairs(left, may).join(known, ["a", "b"], "left_anti")
+        rest = rest.join(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+        return found.unionByName(verify(*settled(rest)))
 
     groups, n_groups = settled(link_groups(shared, info, may, verify, compare))
     for done in (shared, texts):
