@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, forget, reliable, settled, small, stored
-from .components import FEW, components, link_groups, shared_buckets
+from .components import link_groups, shared_buckets
 
 SIMILARITY = 0.9
 #: Lines of up to ``SHORT`` words go by their words but one; up to ``MIDDLE``, by bands of two pairs of neighbouring
@@ -22,21 +22,26 @@ PAIRS_PER_TASK = 1000
 BLOCK = 512
 
 
+#: The heads, and the tails, of two lines are compared before the lines are: this share of the longer one.
+END = 0.25
 #: SQL: whether the lines x and y differ in ``most`` edits at most. Spark's edit distance takes the product of the lengths, so
-#: cheaper bounds come first. An edit changes the counts of two letters by one at most. The sum over the words, if equally many, is a distance that some edits reach; so is the sum
-#: over pieces, up to 12, cut at the same shares of both lines. And the halves of two lines, cut at one place, differ in
-#: twice the lines' distance at most (long lines that share a band seldom differ so much).
+#: cheaper bounds come first. An edit changes the counts of two letters by one at most. The sum over the words, if equally many,
+#: is a distance that some edits reach; so is the sum over pieces, up to 12, cut at the same shares of both lines. And cut at
+#: one place, the heads of two lines are no further apart than the lines and the difference of their lengths together: if
+#: the best alignment meets the cut s places off, the heads differ by s more than there, and each of its parts holds s
+#: edits (the last one less the difference). So are the tails.
 _BY_WORD = "aggregate(zip_with(split(x, ' '), split(y, ' '), (v, w) -> if(v = w, 0, levenshtein(v, w))), 0, (s, d) -> s + d)"
 _PIECES = "cast(least(12, length(x) div 512) AS int)"
 _PIECE = "substring({0}, cast(1 + i * length({0}) div {1} AS int), cast((i + 1) * length({0}) div {1} - i * length({0}) div {1} AS int))"
 _DISTANCE = f"levenshtein({_PIECE.format('x', _PIECES)}, {_PIECE.format('y', _PIECES)}, cast(64 + most div 3 AS int))"
 _BY_PIECE = f"aggregate(transform(sequence(0, {_PIECES} - 1), i -> {_DISTANCE}), 0, (s, d) -> if(d < 0, 1 + most, s + d))"
-_HALF = "cast(greatest(length(x), length(y)) div 2 AS int)"
+_END = f"cast(greatest(length(x), length(y)) * {END} AS int)"
+_ENDS = " AND ".join(f"levenshtein({side}(x, {_END}), {side}(y, {_END}), most + cast(abs(length(x) - length(y)) AS int)) >= 0" for side in ("left", "right"))
 _LETTER = "abs(length(replace(x, '{0}', '')) - length(x) - length(replace(y, '{0}', '')) + length(y))"
 _LETTERS = " + ".join(map(_LETTER.format, "abcdefghijklmnopqrstuvwxyz"))
 NEAR = f"""abs(length(x) - length(y)) <= most AND {_LETTERS} <= 2 * most AND (coalesce({_BY_WORD} <= most, false)
     OR length(x) >= 1024 AND {_BY_PIECE} <= most
-    OR (length(x) > 4096 OR levenshtein(left(x, {_HALF}), left(y, {_HALF}), 2 * most) >= 0) AND levenshtein(x, y, most) >= 0)"""
+    OR {_ENDS} AND levenshtein(x, y, most) >= 0)"""
 
 
 def plain(text: Column) -> Column:
@@ -97,27 +102,6 @@ def most_edits(x: Column, y: Column, similarity: float) -> Column:
     return F.floor((1 - similarity + 1e-9) * F.greatest(x, y)).cast("int")
 
 
-def finer_pairs(large: DataFrame, keys: DataFrame, may: Callable[[Column, Column], Column]) -> DataFrame:
-    """The likely pairs ``a, b`` of different parts within buckets of many nodes, ``bucket, node, part, main, mark``.
-
-    Such a bucket's nodes are put into buckets of longer bands, two to four keys in a row. In those of up to ``FEW``
-    nodes all pairs are taken, in others each node with one that is outside the hub's part, so no bucket gives more
-    than a bounded number of pairs for each row. Links among these join most parts; ``block_pairs`` has the rest.
-    """
-    outside = F.max(F.col("part") != F.col("main")).alias("outside")
-    nodes, n = settled(large.groupBy("node", "part", "mark").agg(outside))
-    runs = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("keys") - more)), lambda j, more=more: F.xxhash64(F.lit(more), F.slice("keys", j, more + 1))) for more in (1, 2, 3)]))
-    finer = keys.join(small(nodes, n), "node").select("node", "part", "mark", "outside", F.explode(F.array_distinct(runs)).alias("finer"))
-    pivot = F.max(F.struct("outside", "node", "part", "mark")).alias("pivot")
-    sizes, n = settled(finer.groupBy("finer").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("low"), F.max("part").alias("high"), pivot).where("low != high").drop("low", "high"))
-    finer = reliable(finer.join(small(sizes, n), "finer"))
-    some = finer.where(F.col("size") <= FEW)
-    left, right = (some.select("finer", F.col("node").alias(x), F.col("part").alias(f"{x}_part"), F.col("mark").alias(f"{x}_mark")) for x in "ab")
-    pairs = left.join(right, "finer").where((F.col("a") < F.col("b")) & (F.col("a_part") != F.col("b_part")) & may(F.col("a_mark"), F.col("b_mark"))).select("a", "b")
-    star = finer.where((F.col("size") > FEW) & (F.col("part") != F.col("pivot.part")) & may(F.col("mark"), F.col("pivot.mark")))
-    return pairs.unionByName(star.select(F.col("node").alias("a"), F.col("pivot.node").alias("b")))
-
-
 def block_pairs(large: DataFrame, may: Callable[[Column, Column], Column]) -> DataFrame:
     """All pairs ``a, b`` of different parts within buckets, ``bucket, node, part, mark``, that may be linked.
 
@@ -160,17 +144,7 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         return both.withColumn("most", most_edits(F.length("x"), F.length("y"), similarity)).where(NEAR).select("a", "b")
 
     def compare(large: DataFrame, known: DataFrame) -> DataFrame:
-        pairs = finer_pairs(large, occ.select(F.col("k1").alias("node"), "keys").join(small(nodes, n_nodes), "node").dropDuplicates(["node"]), may)
-        pairs, n_pairs = settled(pairs.distinct().join(known, ["a", "b"], "left_anti"))
-        found, n_found = settled(verify(pairs, n_pairs))
-        part = large.select("node", "part").distinct()
-        both = found.join(part.select(F.col("node").alias("a"), F.col("part").alias("p")), "a").join(part.select(F.col("node").alias("b"), F.col("part").alias("q")), "b")
-        joined, n_joined = settled(components(both.select(F.col("p").alias("a"), F.col("q").alias("b"))))
-        joined = joined.select(F.col("node").alias("part"), "root")
-        left = large.drop("main").join(small(joined, n_joined), "part", "left").withColumn("part", F.coalesce("root", "part")).drop("root")
-        rest = block_pairs(left, may).join(known, ["a", "b"], "left_anti")
-        rest = rest.join(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-        return found.unionByName(verify(*settled(rest)))
+        return verify(*settled(block_pairs(large, may).join(known, ["a", "b"], "left_anti")))
 
     groups, n_groups = settled(link_groups(shared, info, may, verify, compare))
     for done in (shared, texts):

@@ -246,6 +246,28 @@ def test_large_buckets_lose_no_link(spark):
     assert sum(r.n_removed for r in lines.line_digest(docs).collect()) == 300 - want
 
 
+def test_bounds_of_the_edit_distance_lose_no_pair(spark):
+    """Edits at the ends, which move the rest of a line, in the middle, and anywhere, a few more or less than the limit."""
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcde ") for _ in range(n))
+    pairs = []
+    for i in range(400):
+        x = text(rng.choice((12, 40, 90, 300, 1100)))
+        n = max(1, len(x) // 10 + rng.randint(-2, 2))
+        k = rng.randint(0, n)
+        y = [text(n) + x, x[n:], x[n:] + text(n), text(n) + x[:-n], x[:50] + text(k) + x[50 + n - k :], text(k) + x[n - k :], x[: len(x) - n] + text(k), x[: len(x) // 2] + text(len(x) // 2)][i % 8]
+        pairs.append((i, x, y, int((0.1 + 1e-9) * max(len(x), len(y)))))
+    frame = pd.DataFrame(pairs, columns=["i", "x", "y", "most"])
+    want = {i for (i,) in duckdb.sql("SELECT i FROM frame WHERE levenshtein(x, y) <= most").fetchall()}
+    got = spark.createDataFrame(pairs, "i int, x string, y string, most int").where(lines.NEAR).select("i").collect()
+    assert 100 < len(want) < 300 and {r.i for r in got} == want
+
+
 def test_token_counts_equal_library(spark, sf, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
