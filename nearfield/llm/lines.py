@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add, sub
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,33 +17,38 @@ SIMILARITY = 0.9
 #: words; longer ones, by bands of three. A line next to a border gets both kinds.
 SHORT, MIDDLE = 7, 20
 BANDS = {2: 8, 3: 12}
+VARIED = 16
 #: Lines of one or two words go by runs of so many characters, or below ``HALVES`` characters by their halves.
 RUN, HALVES = 5, 20
 PAIRS_PER_TASK = 1000
+#: Characters that are counted in lines of large buckets, all others as one.
+COUNTED = "entaoirsdlhu "
 #: In a large bucket a block of so many nodes meets another one.
 BLOCK = 512
-
-
-#: The heads, and the tails, of two lines are compared before the lines are: this share of the longer one.
-END = 0.25
-#: SQL: whether the lines x and y differ in ``most`` edits at most. Spark's edit distance takes the product of the lengths, so
-#: cheaper bounds come first. An edit changes the counts of two letters by one at most. The sum over the words, if equally many,
-#: is a distance that some edits reach; so is the sum over pieces, up to 12, cut at the same shares of both lines. And cut at
-#: one place, the heads of two lines are no further apart than the lines and the difference of their lengths together: if
-#: the best alignment meets the cut s places off, the heads differ by s more than there, and each of its parts holds s
-#: edits (the last one less the difference). So are the tails.
+#: SQL: whether the lines x and y differ in ``most`` edits at most. Spark's edit distance takes the product of the lengths where
+#: lines are linked (of others it soon sees that they aren't), so cheaper bounds come first. The sum over the words, if
+#: equally many, is a distance that some edits reach; so is the sum over pieces, up to 12, cut at the same shares of both lines.
 _BY_WORD = "aggregate(zip_with(split(x, ' '), split(y, ' '), (v, w) -> if(v = w, 0, levenshtein(v, w))), 0, (s, d) -> s + d)"
+_SPACES = "length(replace(x, ' ', '')) - length(x) = length(replace(y, ' ', '')) - length(y)"
 _PIECES = "cast(least(12, length(x) div 512) AS int)"
 _PIECE = "substring({0}, cast(1 + i * length({0}) div {1} AS int), cast((i + 1) * length({0}) div {1} - i * length({0}) div {1} AS int))"
 _DISTANCE = f"levenshtein({_PIECE.format('x', _PIECES)}, {_PIECE.format('y', _PIECES)}, cast(64 + most div 3 AS int))"
 _BY_PIECE = f"aggregate(transform(sequence(0, {_PIECES} - 1), i -> {_DISTANCE}), 0, (s, d) -> if(d < 0, 1 + most, s + d))"
-_END = f"cast(greatest(length(x), length(y)) * {END} AS int)"
-_ENDS = " AND ".join(f"levenshtein({side}(x, {_END}), {side}(y, {_END}), most + cast(abs(length(x) - length(y)) AS int)) >= 0" for side in ("left", "right"))
-_LETTER = "abs(length(replace(x, '{0}', '')) - length(x) - length(replace(y, '{0}', '')) + length(y))"
-_LETTERS = " + ".join(map(_LETTER.format, "abcdefghijklmnopqrstuvwxyz"))
-NEAR = f"""abs(length(x) - length(y)) <= most AND {_LETTERS} <= 2 * most AND (coalesce({_BY_WORD} <= most, false)
+NEAR = f"""abs(length(x) - length(y)) <= most AND (greatest(length(x), length(y)) <= most
+    OR {_SPACES} AND {_BY_WORD} <= most
     OR length(x) >= 1024 AND {_BY_PIECE} <= most
-    OR {_ENDS} AND levenshtein(x, y, most) >= 0)"""
+    OR levenshtein(x, y, most) >= 0)"""
+#: SQL: how many characters x and y have in common at their heads, and at their tails, found by halving.
+_COMMON = "aggregate(sequence(cast(log2(1 + least(length(x), length(y))) AS int), 0, -1), 0, (n, b) -> if(n + shiftleft(1, b) <= least(length(x), length(y)) AND {0}(x, n + shiftleft(1, b)) = {0}(y, n + shiftleft(1, b)), n + shiftleft(1, b), n))"
+
+
+def middles(pairs: DataFrame) -> DataFrame:
+    """The pairs ``x, y`` without the heads and the tails that they have in common, which no distance depends on."""
+    for side, rest in (("left", "substring({0}, 1 + n)"), ("right", "left({0}, length({0}) - n)")):
+        cut = f"transform(array({_COMMON.format(side)}), n -> struct({rest.format('x')} AS x, {rest.format('y')} AS y))"
+        # An explode keeps the optimizer from writing the cut out in every place where x and y are used.
+        pairs = pairs.select("*", F.explode(F.expr(cut)).alias("cut")).withColumns({"x": F.col("cut.x"), "y": F.col("cut.y")}).drop("cut")
+    return pairs
 
 
 def plain(text: Column) -> Column:
@@ -67,7 +74,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     Lines that share one of the ``keys`` are compared. The features of a line (its pairs of neighbouring words) are
     hashed and sorted, and each run of two or three of the least ones, neighbours in that order, makes a band: a band
-    is lost only if one of its features changes or a new one falls between them.
+    is lost only if one of its features changes or a new one falls between them. A feature counts once, else a pair of
+    words that stands three times in many lines would be a band of them all. A line of fewer than ``VARIED`` different
+    features gets a second set of bands, in which repeats (the second; the third and fourth; and so on, doubling) are
+    features too.
     """
     n, s, norm = F.col("n"), F.col("s"), F.array_join("words", " ")
     lines = lines_of(docs, plain(F.col("text"))).where(F.btrim("line") != "").select("doc_id", "text_hash", "pos", words_of(F.col("line")).alias("words"))
@@ -76,12 +86,22 @@ def occurrences(docs: DataFrame) -> DataFrame:
     pairs = F.transform(F.slice("words", 1, n - 1), lambda w, i: F.xxhash64(w, F.get("words", i + 1)))
     runs = F.transform(F.slice("chars", 1, F.size("chars") - RUN + 1), lambda _, i: F.xxhash64(F.slice("chars", i + 1, F.lit(RUN))))
     features = F.sort_array(F.when(n >= SHORT, pairs).otherwise(runs))
+
+    def numbered(h: Column, i: Column) -> Column:
+        before = [F.coalesce(F.get("s", i - (1 << j)) == h, F.lit(False)) for j in range(12)]
+        return F.when(before[0], F.xxhash64(h, reduce(add, [b.cast("int") for b in before]))).otherwise(h)
+
     k1, k2 = F.xxhash64("words").alias("k1"), F.xxhash64(F.lit("second"), "words").alias("k2")
-    lines = lines.select("doc_id", "text_hash", "pos", k1, k2, "n", "norm", F.when(n <= SHORT + 1, F.col("words")).alias("few"), features.alias("s"))
+    lines = lines.select("doc_id", "text_hash", "pos", k1, k2, "n", "norm", F.when(n <= SHORT + 1, F.col("words")).alias("few"), features.alias("s")).withColumn("d", F.array_distinct("s"))
+    repeats = F.sort_array(F.array_distinct(F.transform("s", numbered)))
+    lines = lines.withColumn("r", F.when((F.size("d") < VARIED) & (F.size("d") < F.size("s")), repeats))
 
     def bands(size: int) -> Column:
-        every = F.array(*[F.xxhash64(F.lit(size), *[F.get(s, F.lit(j + k)) for k in range(size)]) for j in range(BANDS[size])])
-        return F.slice(every, F.lit(1), F.greatest(F.lit(1), F.size(s) - size + 1))
+        def of(s: str) -> Column:
+            every = F.array(*[F.xxhash64(F.lit(size), *[F.get(s, F.lit(j + k)) for k in range(size)]) for j in range(BANDS[size])])
+            return F.slice(every, F.lit(1), F.greatest(F.lit(1), F.size(s) - size + 1))
+
+        return F.when(F.col("r").isNull(), of("d")).otherwise(F.array_union(of("d"), of("r")))
 
     but_one = F.transform("few", lambda _, i: F.xxhash64(F.concat(F.slice("few", F.lit(1), i), F.slice("few", i + 2, n))))
     length = F.length("norm")
@@ -102,6 +122,20 @@ def most_edits(x: Column, y: Column, similarity: float) -> Column:
     return F.floor((1 - similarity + 1e-9) * F.greatest(x, y)).cast("int")
 
 
+def counts_of(line: Column) -> Column:
+    """The length of a line and how often each of the ``COUNTED`` characters stands in it."""
+    return F.array(F.length(line), *[F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in COUNTED])
+
+
+def alike(a: Column, b: Column, similarity: float) -> Column:
+    """Whether the ``counts_of`` two lines allow a link. Added up, the differences of the counts, that of the others' count
+    and that of the lengths grow by two at most with an edit: a substitution changes two counts, another edit one and the length."""
+    gaps = [a[i] - b[i] for i in range(len(COUNTED) + 1)]
+    others = F.abs(reduce(sub, gaps))
+    most = most_edits(a[0], b[0], similarity)
+    return (F.abs(gaps[0]) <= most) & (reduce(add, map(F.abs, gaps)) + others <= 2 * most)
+
+
 def block_pairs(large: DataFrame, may: Callable[[Column, Column], Column]) -> DataFrame:
     """All pairs ``a, b`` of different parts within buckets, ``bucket, node, part, mark``, that may be linked.
 
@@ -141,10 +175,12 @@ def removals(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         tasks = max(1, -(-n_pairs // PAIRS_PER_TASK))
         both = pairs.join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b").repartition(tasks, "a")
         both = both.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")).repartition(tasks, "a"), "a")
-        return both.withColumn("most", most_edits(F.length("x"), F.length("y"), similarity)).where(NEAR).select("a", "b")
+        return middles(both.withColumn("most", most_edits(F.length("x"), F.length("y"), similarity))).where(NEAR).select("a", "b")
 
     def compare(large: DataFrame, known: DataFrame) -> DataFrame:
-        return verify(*settled(block_pairs(large, may).join(known, ["a", "b"], "left_anti")))
+        counted, n = settled(large.select("node").distinct().join(texts, "node").select("node", counts_of(F.col("line")).alias("mark")))
+        pairs = block_pairs(large.drop("mark").join(small(counted, 8 * n), "node"), lambda a, b: alike(a, b, similarity))
+        return verify(*settled(pairs.join(known, ["a", "b"], "left_anti")))
 
     groups, n_groups = settled(link_groups(shared, info, may, verify, compare))
     for done in (shared, texts):

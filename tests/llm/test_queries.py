@@ -246,6 +246,43 @@ def test_large_buckets_lose_no_link(spark):
     assert sum(r.n_removed for r in lines.line_digest(docs).collect()) == 300 - want
 
 
+def test_repeated_pairs_make_no_band(spark):
+    """Lines that share only a pair of words that stands in them three times: it was a band, and so a bucket, of them all."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: f"word{rng.randrange(10**6)}"
+    text = lambda n: " ".join(("of the " if i % 9 == 0 else "") + word() for i in range(n))
+    few = lambda: " ".join(["la"] * 14 + [word()])
+    texts = {i: text(30) for i in range(60)} | {i: few() for i in range(60, 70)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    occ = {r.doc_id: set(r["keys"]) for r in lines.occurrences(docs).collect()}
+    assert not any(occ[i] & occ[j] for i in range(60) for j in range(i))
+    assert any(occ[i] & occ[j] for i in range(60, 70) for j in range(60, i))  # repeats still count where there is little else
+
+
+def test_counts_and_middles_lose_no_pair(spark):
+    """Pairs of lines within the limit pass the bound by counts, and cut to their middles they are as far apart."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(10)
+    rows = []
+    for i in range(400):
+        x = "".join(rng.choice("etaonixyz é") for _ in range(rng.choice((0, 1, 9, 30, 64, 200))))
+        y = x
+        for _ in range(rng.randint(0, len(x) // 8 + 1)):
+            at, c = rng.randrange(len(y) + 1), rng.choice(["", "e", "z", "é", "  "])
+            y = y[:at] + c + y[at + rng.randint(0, 1) :]
+        rows.append((i, x, y))
+    made = spark.createDataFrame(rows, "i int, x string, y string").withColumn("most", lines.most_edits(F.length("x"), F.length("y"), 0.9))
+    made = made.withColumns({"d": F.levenshtein("x", "y"), "alike": lines.alike(lines.counts_of(F.col("x")), lines.counts_of(F.col("y")), 0.9)})
+    cut = lines.middles(made).select("*", F.levenshtein("x", "y").alias("e"), F.expr(lines.NEAR).alias("near")).collect()
+    assert len(cut) == 400 and all(r.d == r.e and r.near == (r.d <= r.most) and (r.alike or not r.near) for r in cut)
+    assert 50 < sum(r.near for r in cut) < 350 and any(not r.alike for r in cut)
+
+
 def test_bounds_of_the_edit_distance_lose_no_pair(spark):
     """Edits at the ends, which move the rest of a line, in the middle, and anywhere, a few more or less than the limit."""
     import random
